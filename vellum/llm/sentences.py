@@ -15,6 +15,8 @@ NOTES = (("(", ")"), ("（", "）"))
 CLOSERS = "」』”\"’»)）\\]"
 #: Characters that do not show may stand anywhere, also after a unit's last character, to which they then belong.
 UNSEEN = "\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}"
+#: Blanks other than the ordinary and the ideographic one.
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
 #: Final particles of unpunctuated classical Chinese; 也者 marks a topic and 焉能 asks, both go on.
 PARTICLES = ("也(?!者)", "矣", "焉(?!能)", "耳", "而已", "云爾", "謹奏", "欽此")
 #: What may follow a quotation within its sentence.
@@ -64,7 +66,7 @@ def _straight(s: Column, by: str) -> Column:
 def masked(text: Column) -> Column:
     """The text with decimals, URLs, abbreviations, quotations and notes masked; as long as the text."""
     s = F.regexp_replace(text, "[-]", "")  # placeholders of the text itself
-    s = F.translate(s, "⽿⽽⼰", "耳而已")
+    s = F.translate(s, "⽿⽽⼰" + BLANKS, "耳而已" + " " * len(BLANKS))
     s = F.regexp_replace(s, r"(?<=[0-9０-９])[.．](?=[0-9０-９])", DOT)
     s = let(s, lambda s: F.when(s.contains("://"), F.regexp_replace(s, r"(?<=[A-Za-z0-9/_-])[.?!](?=[A-Za-z0-9/_-])", DOT)).otherwise(s))
     s = F.regexp_replace(s, rf"(?<=(?<![\p{{L}}])(?:{ABBREVIATIONS}))\.(?=\s?[\p{{Ll}}0-9(,;:])|(?<=\b\p{{Lu}})\.(?=\s?\p{{Lu}})|(?<=\bv)\.(?=v\b)|(?<=\bv{DOT}v|\bv\.v)\.(?=\s*[,;:\p{{Ll}})])", DOT)
