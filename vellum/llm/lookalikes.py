@@ -106,6 +106,7 @@ class Model:
 
 #: Log costs of replacing a letter by one that it looks like, and of a change of script within a word.
 REPLACED, SWITCHED = -2.0, -12.0
+_LIKE_RE = re.compile(f"[{''.join(LOOK_ALIKES)}]")
 _LIKE: dict[str, set[str]] = {}
 for _a, _b in LOOK_ALIKES.items():
     _LIKE.setdefault(_a, set()).add(_b)
@@ -163,8 +164,8 @@ def form(text: str, model: Model) -> str:
     forms, accented letters composed, and look-alike letters decoded word by word. Punctuation stays as it is."""
     s = _UNSEEN_RE.sub("", text)
     s = _WIDE_RE.sub(lambda m: " " * len(m[0]), _BLANK_RE.sub(" ", s))
-    s = unicodedata.normalize("NFC", "".join(map(plain, s)))
-    return _TOKEN.sub(lambda m: decode(m[0], model), s)
+    s = unicodedata.normalize("NFC", s if s.isascii() else "".join(map(plain, s)))
+    return _TOKEN.sub(lambda m: decode(m[0], model), s) if _LIKE_RE.search(s) else s
 
 
 def fit(*texts: tuple[DataFrame, str]) -> dict[int, int]:

@@ -46,6 +46,7 @@ _FOLIO = re.compile(rf"\s*(?:第[{NUMERALS}]+[葉頁張]|[{NUMERALS}]+[上下])\
 _VOLUME = re.compile(rf"(?:\d+\s{{2,}})?[{_HAN}]{{2,8}}卷[{NUMERALS}上中下]+(?:\s{{2,}}\d+)?\s*")
 _VOLUME_VI = re.compile(r"(?:\d+\s{2,})?[^\W\d_][^.!?…:;\d]{4,48},\s*tập\s+\d+(?:\s{2,}\d+)?\s*", re.I)
 _OWN_NUMBER = re.compile(r"^\s*\d+\s{2,}|\s{2,}\d+\s*$")
+_MARKS = ".,;:!?…)”’»\"-¬= "
 _BARE_LETTERS = LetterModel({})
 
 
@@ -57,12 +58,25 @@ def plain(text: str) -> str:
     return "\n".join(form(line[:-1], _BARE_LETTERS) + "-" if line.endswith("­") else form(line, _BARE_LETTERS) for line in text.split("\n"))
 
 
-_MENDS = re.compile("[­​-‏⁠-⁤﻿︀-️Ͱ-αγ-ϿЀ-ԯ\xa0 -  ０-９Ａ-Ｚａ-ｚ⺀-⿟豈-﫿ÐƉ\U000e0100-\U000e01ef]")
+_MENDS = re.compile("[­​-‏⁠-⁤﻿︀-️̀-ͯͰ-αγ-ϿЀ-ԯ  -   ０-９Ａ-Ｚａ-ｚ⺀-⿟豈-﫿ÐƉ\U000e0100-\U000e01ef]")
+
+
+class _Norm(dict):
+    """What a token counts as: itself, 0 for a number, : or . for a run of marks."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[t] = v = (":" if ":" in t else ".") if not t[0].isalnum() else "0" if t.isdigit() else t
+        return v
+
+
+_NORM = _Norm()
 
 
 def tokens(line: str) -> list[str]:
     """Han characters, words in lower case, 0 for numbers, and : or . for runs of marks."""
-    return [(":" if ":" in t else ".") if not t[0].isalnum() else "0" if t.isdigit() else t for t in _TOKEN.findall(line.lower())]
+    return list(map(_NORM.__getitem__, _TOKEN.findall(line.lower())))
 
 
 def shape(line: str) -> str:
@@ -72,7 +86,7 @@ def shape(line: str) -> str:
 
 def countable(s: str) -> bool:
     """Whether a shape can be a running header: some words, no final mark, not Han."""
-    return 8 <= len(s) <= 60 and s[-1] not in ".,;:!?…)”’»\"-¬=" and s.count(" ") >= 2 and not _HAN_RE.search(s)
+    return 8 <= len(s) <= 60 and s[-1] not in _MARKS and s.count(" ") >= 2 and not _HAN_RE.search(s)
 
 
 def count(texts: DataFrame) -> DataFrame:
@@ -96,7 +110,7 @@ def count(texts: DataFrame) -> DataFrame:
                         pairs.update(zip([".", *ts], [*ts, "."]))
                         n += 1
                         for i, line in enumerate(lines):
-                            if len(line) < 70 and line[:1].upper() == line[:1] and countable(s := shape(line)):
+                            if 8 <= len(line) < 60 and line[-1] not in _MARKS and not line[0].islower() and countable(s := shape(line)):
                                 shapes["a", s] += 1
                                 if i == 0 or i == len(lines) - 1:
                                     shapes["e", s] += 1
@@ -147,6 +161,10 @@ class Channel:
                 self.han.setdefault(read, {})[shown] = math.log(max(min(k / (self.n[shown] + 1), 0.3), 0.01))
         self.confused = {(read, shown) for shown, read in CONFUSED}
         self.safe_pairs: dict[tuple[str, str], bool] = {}
+        self.longest = max(map(len, headers), default=0) + 8
+        self.lines: dict[str, tuple[list[str], list[int]]] = {}
+        self.furniture: dict[str, bool] = {}
+        self.spans: dict[tuple[str, ...], tuple[str, ...]] = {}
         self.of: dict[str, dict[str, float]] = {}
 
     def candidates(self, w: str) -> dict[str, float]:
@@ -210,13 +228,32 @@ class Channel:
             self.safe_pairs[a, b] = got
         return got
 
-    def decode(self, ts: list[str]) -> dict[int, str]:
-        """Where and by what the best path differs from the tokens read (from 1 to the last but one; the outer two are context)."""
+    def is_safe(self, pair: tuple[str, str]) -> bool:
+        got = self.safe_pairs.get(pair)
+        return self.safe(*pair) if got is None else got
+
+    def scan(self, line: str) -> tuple[list[str], list[int]]:
+        """The tokens of a line and the places of pairs that are not safe. Answers of several models share most lines, so lines are remembered."""
+        got = self.lines.get(line)
+        if got is None:
+            ts, known, safe = tokens(line), self.safe_pairs, self.safe
+            got = ts, [i for i, p in enumerate(zip(ts, ts[1:])) if not (known[p] if p in known else safe(*p))]
+            if len(self.lines) >= 60_000:
+                self.lines.clear()
+            self.lines[line] = got
+        return got
+
+    def decode(self, ts: list[str], unsafe: set[int]) -> dict[int, str]:
+        """Where and by what the best path differs from the tokens read (from 1 to the last but one; the outer two are context).
+
+        ``unsafe``: the places of pairs that are not safe.
+        """
         n, out, i = len(ts), {}, 1
+        if not unsafe:
+            return out
         open_ = [False] * n
-        for j in range(n - 1):
-            if not self.safe(ts[j], ts[j + 1]):
-                open_[j] = open_[j + 1] = True
+        for j in unsafe:
+            open_[j] = open_[j + 1] = True
         open_[0] = open_[-1] = False
         while i < n - 1:
             if not open_[i]:
@@ -225,34 +262,50 @@ class Channel:
             j = i
             while open_[j]:
                 j += 1
-            # Viterbi over the open span i..j-1, between the fixed tokens before and after it
-            paths = {ts[i - 1]: (0.0, ())}
-            for k in range(i, j):
-                now = {}
-                for v, p in ((ts[k], 0.0), *self.candidates(ts[k]).items()):
-                    now[v] = max((s + p + self.step(a, v), (*t, v)) for a, (s, t) in paths.items())
-                paths = now
-            best = max((s + self.step(a, ts[j]), t) for a, (s, t) in paths.items())[1]
-            out.update({k: v for k, v in zip(range(i, j), best) if v != ts[k]})
+            span = tuple(ts[i - 1 : j + 1])
+            best = self.spans.get(span)
+            if best is None:
+                if len(self.spans) >= 60_000:
+                    self.spans.clear()
+                best = self.spans[span] = self.viterbi(span)
+            for k, v in enumerate(best, i):
+                if v != ts[k]:
+                    out[k] = v
             i = j
         return out
 
+    def viterbi(self, span: tuple[str, ...]) -> tuple[str, ...]:
+        """The best words in place of the inner tokens of a span, between its two outer ones."""
+        paths = {span[0]: (0.0, ())}
+        for t in span[1:-1]:
+            now = {}
+            for v, p in ((t, 0.0), *self.candidates(t).items()):
+                now[v] = max((s + p + self.step(a, v), (*path, v)) for a, (s, path) in paths.items())
+            paths = now
+        return max((s + self.step(a, span[-1]), path) for a, (s, path) in paths.items())[1]
+
     def is_furniture(self, line: str, after: str | None) -> bool:
-        if not line or line.isspace():
-            return False
-        if _DECORATED.fullmatch(line) or _FOLIO.fullmatch(line) or _VOLUME.fullmatch(line):
-            return True
         if _BARE.fullmatch(line):  # a number may also stand before its unit of measure
             follows = tokens(after)[:1] if after else []
             return not (follows and follows[0] in self.units) and not (_HAN_RE.search(line) and follows and self.pairs.get((line.strip()[-1], follows[0]), 0) > 0.01 * self.n.get(line.strip()[-1], 0))
-        if len(line) > 75:
+        got = self.furniture.get(line)
+        if got is None:
+            if len(self.furniture) >= 60_000:
+                self.furniture.clear()
+            got = self.furniture[line] = self._is_furniture(line)
+        return got
+
+    def _is_furniture(self, line: str) -> bool:
+        if _DECORATED.fullmatch(line) or _FOLIO.fullmatch(line) or _VOLUME.fullmatch(line):
+            return True
+        if not 8 <= len(line) <= max(self.longest, 60) or line[0].islower():
             return False
         if _VOLUME_VI.fullmatch(line):
             return True
         s = shape(line)
         if s in self.headers:
             return True
-        if len(s) < 8:
+        if not 8 <= len(s) <= self.longest or line[-1] in ".!?…)”’»\"" and not s[:-1] in self.near_headers:
             return False
         return s in self.near_headers or any(s[:i] + "*" + s[i + 1 :] in self.near_headers or s[:i] + s[i + 1 :] in self.headers for i in range(len(s)))
 
@@ -271,12 +324,14 @@ class Channel:
 
         return re.sub(r"([^\W\d_]+)!(?!!)(\s*.|$)", one, line)
 
-    def repair(self, text: str, corrected: str | None = None) -> tuple[list[tuple[int, str]], str]:
+    def repair(self, text: str, corrected: str | None = None, join: bool = True) -> tuple[list[tuple[int, str]], str]:
         """The noise of a text, (line from 1, kind), and the text as continuous paragraphs.
 
         ``corrected``: the same text as a reader corrected it, where there is one; where it has as many characters as the body
-        it is the likeliest path.
+        it is the likeliest path. ``join``: whether the paragraphs are wanted.
         """
+        if text == corrected and "\n" not in text and not join:
+            return [], text
         lines = plain(text).split("\n")
         noise: list[tuple[int, str]] = []
         body: list[int] = []
@@ -285,7 +340,7 @@ class Channel:
                 noise.append((i + 1, "furniture"))
             elif line and not line.isspace():
                 body.append(i)
-        ts, owner, pieces = ["."], [-1], []
+        ts, owner, pieces, unsafe = ["."], [-1], [], set()
         carry = ""  # the first part of a broken word
         wrong: set[int] = set()
         heads: dict[int, tuple[int, int]] = {}  # token -> line of its first part, that part's length
@@ -310,15 +365,22 @@ class Channel:
                 line = line.rstrip()[:-1]
                 m = re.search(r"[^\W_]+$", line)
                 carry, carried, line = m[0], i, line[: m.start()]
-            got = tokens(line)
-            ts += got
-            owner += [i] * len(got)
+            got, places = self.scan(line)
+            if got:
+                if not self.is_safe((ts[-1], got[0])):
+                    unsafe.add(start - 1)
+                if places:
+                    unsafe.update(start + k for k in places)
+                ts += got
+                owner += [i] * len(got)
             pieces.append((i, start, line))
         if carry:
             pieces.append((carried, len(ts), carry))
+        if not self.is_safe((ts[-1], ".")):
+            unsafe.add(len(ts) - 1)
         ts.append(".")
         owner.append(-1)
-        changed = self.decode(ts)
+        changed = self.decode(ts, unsafe)
         if corrected:
             shown = _HAN_RE.findall(plain(corrected))
             at = [k for k, t in enumerate(ts) if _HAN_RE.match(t)]
@@ -336,7 +398,7 @@ class Channel:
                     continue
             wrong.add(i)
         noise += [(i + 1, "misread") for i in wrong]
-        return noise, self.paragraphs(pieces, changed)
+        return noise, self.paragraphs(pieces, changed) if join else ""
 
     def paragraphs(self, pieces: list[tuple[int, int, str]], changed: dict[int, str]) -> str:
         """The body's lines with the best path's words, joined: Latin text by blanks, Han text by nothing."""
@@ -387,13 +449,13 @@ def fit(records: DataFrame, ocr_results: DataFrame):
     return records.sparkSession.sparkContext.broadcast((pairs, confused, headers))
 
 
-def _run(shared, df: DataFrame, kind: str, schema: str, make) -> DataFrame:
+def _run(shared, df: DataFrame, join: bool, schema: str, make) -> DataFrame:
     def run(batches):
         channel = Channel(*shared.value)
         for b in batches:
             keys, rows = [b.column(i).to_pylist() for i in range(3)], []
             for table, row, field, text, corrected in zip(*keys, b.column(3).to_pylist(), b.column(4).to_pylist()):
-                rows += make(channel, table, row, field, *channel.repair(text, corrected))
+                rows += make(channel, table, row, field, *channel.repair(text, corrected, join))
             names = schema_names
             cols = list(map(list, zip(*rows))) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
@@ -414,7 +476,7 @@ def noise(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
     def make(channel, table, row, field, noise, text):
         return [(table, row, field, line, kind) for line, kind in set(noise)]
 
-    found = _run(shared, texts(records, ocr_results), "noise", "table_name string, row_id long, field_name string, line_no int, noise string", make)
+    found = _run(shared, texts(records, ocr_results), False, "table_name string, row_id long, field_name string, line_no int, noise string", make)
     return found.distinct()
 
 
@@ -425,4 +487,4 @@ def repaired(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
     def make(channel, table, row, field, noise, text):
         return [(table, row, field, text)]
 
-    return _run(shared, texts(records, ocr_results), "text", "table_name string, row_id long, field_name string, repaired string", make)
+    return _run(shared, texts(records, ocr_results), True, "table_name string, row_id long, field_name string, repaired string", make)
