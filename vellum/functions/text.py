@@ -128,10 +128,9 @@ def entry_number(lines: Column, hint: Column) -> Column:
     where no line has it, the number right before Loại: in all lines together."""
     with_kind = F.filter(lines, lambda x: x.rlike("(?iuU)Lo[aạáàảãăắằ]i"))
     before = F.regexp_extract(F.try_element_at(with_kind, F.lit(1)), "(?iuUs)^(.*?)Lo[aạáàảãăắằ]i", 1)
-    first = F.when(before.rlike(r"(?iuU)Tờ|Tập|/\s*\d"), F.lit(None)).otherwise(F.expr("try_cast(null as int)"))
     number = F.nullif(F.regexp_extract(before, r"(\d{1,4})", 1), F.lit("")).try_cast("int")
     whole = F.nullif(F.regexp_extract(F.array_join(lines, " "), NUMBER_KIND, 1), F.lit("")).try_cast("int")
-    return F.coalesce(hint, F.when(F.size(with_kind) > 0, F.when(before.rlike(r"(?iuU)Tờ|Tập|/\s*\d"), first).otherwise(number)).otherwise(whole))
+    return F.coalesce(hint, F.when(F.size(with_kind) > 0, F.when(~before.rlike(r"(?iuU)Tờ|Tập|/\s*\d"), number)).otherwise(whole))
 
 
 def is_garbage(c: Column) -> Column:
@@ -185,7 +184,7 @@ def parse_sentence_id(c: Column) -> Column:
 
 def page_filter(text: Column) -> Column:
     """The pages that a list like 1,3,5-8 names, sorted and once each; null for no filter; an error where a range ends before it starts."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
     def pages(x: Column) -> Column:
         lo = F.trim(F.element_at(F.split(x, "-"), 1)).cast("int")
@@ -238,7 +237,7 @@ def page_count(html: Column) -> Column:
     ok = lambda x: F.when((x > 1) & (x < 10000), x)
     listed = F.regexp_extract(html, r"(?is)<dt[^>]*>\s*pages\s*</dt>\s*<dd[^>]*>[^<\d]*(\d+)", 1).try_cast("int")
     bold = F.regexp_extract(html, r"(?is)<(?:b|strong)[^>]*>[^<]*pages[^<]*</(?:b|strong)>\s*(?:</[a-z0-9]+>\s*)?<[^>]+>[^<\d]*(\d+)", 1).try_cast("int")
-    texts = [F.element_at(F.filter(F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), lambda x: ok(x.try_cast("int"))), lambda x: x.isNotNull()), 1) for p in ()]
+    texts = []
     for p in (r"(?i)(\d+)\s+pages?", r"(?i)Page\s+\d+\s+of\s+(\d+)", r"(?i)<b>Pages</b>[^<]*<[^>]+>(\d+)", r"(?i)Pages.*?(\d{2,4})"):
         numbers = F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), lambda x: x.try_cast("int"))
         texts.append(F.try_element_at(F.filter(numbers, lambda x: (x > 1) & (x < 10000)), F.lit(1)))

@@ -157,8 +157,9 @@ def unverified_pages(records: DataFrame, first: int, last: int) -> DataFrame:
 
 def page_images(records: DataFrame) -> DataFrame:
     """(job_id, page, image): the first row's image of the page, else of the job."""
-    any_ = records.groupBy("job_id").agg(F.min_by("image_path", "row_id").alias("any"))
-    own = records.groupBy("job_id", "page").agg(F.min_by(F.nullif("image_path", F.lit("")), "row_id").alias("own"))
+    image = F.nullif(F.col("image_path"), F.lit(""))
+    any_ = records.groupBy("job_id").agg(F.min_by("image_path", F.when(F.col("image_path").isNotNull(), F.col("row_id"))).alias("any"))
+    own = records.groupBy("job_id", "page").agg(F.min_by(image, F.when(image.isNotNull(), F.col("row_id"))).alias("own"))
     return own.join(any_, "job_id").select("job_id", "page", F.coalesce("own", "any").alias("image"))
 
 
