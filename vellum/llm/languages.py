@@ -21,6 +21,8 @@ TOKEN_SHARE = 1e-6
 #: Most that one token says for or against a language, log cost of a change of language after a sentence and within one, and how much
 #: of the token evidence counts (tokens of a text are not independent).
 CAP, CHANGE, CHANGE_WITHIN, TEMPER = 4.0, 6.0, 9.0, 0.5
+#: Rows of priors that are joined by broadcast; more are joined by a shuffle.
+BROADCAST_PRIORS = 100_000
 #: Words or Han characters below which a piece in another script within a sentence (a name, a word) is no sentence of its own.
 LEAST_WORDS, LEAST_HAN = 3, 5
 
@@ -224,7 +226,9 @@ def segments(documents: DataFrame) -> DataFrame:
     shared = fit(documents)
     p = priors(documents)
     x = documents.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_t", F.coalesce("doc_type", F.lit("")))
-    x = x.join(p.withColumnsRenamed({"source": "_s", "doc_type": "_t"}), ["_s", "_t"], "left")
+    p = p.withColumnsRenamed({"source": "_s", "doc_type": "_t"}).persist()
+    # a row for each source and type: sent to all tasks where it is small, so that documents need not move
+    x = x.join(F.broadcast(p) if p.count() <= BROADCAST_PRIORS else p, ["_s", "_t"], "left")
     x = x.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text", declared(F.col("lang")).alias("label"), F.transform(units(F.col("text")), lambda u: F.array(u["start"], u["last"])).alias("units"), F.array(*(F.col(f"p_{c}") for c in LANGS)).alias("prior"))
 
     def run(batches):

@@ -38,8 +38,10 @@ _HAN_RE = re.compile(f"[{_HAN}]")
 _NUMBER = re.compile(r"\d+")
 _ADDED_RE = re.compile(rf"[{re.escape(ADDED)}]")
 _IN_WORD = re.compile(r"[^\W\d_]![^\W\d_:]|[^\W\d_]!:")
+_IN_WORD_I = re.compile(r"([^\W\d_])!(?=[^\W\d_:])|(?<=[^\W\d_])!(?=:)")
 _BROKEN = re.compile(rf"[^\W\d_{_HAN}][{HYPHENS}]\s*$")
 _PAGE = re.compile(r"(?i)[\W_]*(?:tr(?:ang)?|p(?:age)?|tờ|fol)?[\W_]*\d+(?:\s*/\s*\d+)?[\W_]*")
+_LAST_WORD = re.compile(rf"[^\W_{_HAN}]+$")
 _BARE = re.compile(rf"\s*(?:\d+|[{NUMERALS}]+)\s*")
 _DECORATED = re.compile(r"(?i)\s*(?:— ?\d+ ?—|- ?\d+ ?-|\[ ?\d+ ?\]|\. ?\d+ ?\.|\d+ ?/ ?\d+|tr(?:ang)?\.? ?\d+|p(?:age)?\.? ?\d+)\s*")
 _FOLIO = re.compile(rf"\s*(?:第[{NUMERALS}]+[葉頁張]|[{NUMERALS}]+[上下])\s*")
@@ -162,7 +164,8 @@ class Channel:
         self.confused = {(read, shown) for shown, read in CONFUSED}
         self.safe_pairs: dict[tuple[str, str], bool] = {}
         self.longest = max(map(len, headers), default=0) + 8
-        self.lines: dict[str, tuple[list[str], list[int]]] = {}
+        self.steps: dict[tuple[str, str], float] = {}
+        self.lines: dict[str, tuple[bool, str, bool, list[str], list[int]]] = {}
         self.furniture: dict[str, bool] = {}
         self.spans: dict[tuple[str, ...], tuple[str, ...]] = {}
         self.of: dict[str, dict[str, float]] = {}
@@ -215,7 +218,12 @@ class Channel:
         return self.pairs.get((a, b), 0) + SMOOTH * (self.n.get(b, 0) + 0.5) / (self.total + 1)
 
     def step(self, a: str, b: str) -> float:
-        return math.log(self.weight(a, b) / (self.n.get(a, 0) + SMOOTH))
+        got = self.steps.get((a, b))
+        if got is None:
+            if len(self.steps) >= 500_000:
+                self.steps.clear()
+            got = self.steps[a, b] = math.log(self.weight(a, b) / (self.n.get(a, 0) + SMOOTH))
+        return got
 
     def safe(self, a: str, b: str) -> bool:
         """Whether no candidate in place of a or b could win on this pair."""
@@ -232,15 +240,26 @@ class Channel:
         got = self.safe_pairs.get(pair)
         return self.safe(*pair) if got is None else got
 
-    def scan(self, line: str) -> tuple[list[str], list[int]]:
-        """The tokens of a line and the places of pairs that are not safe. Answers of several models share most lines, so lines are remembered."""
+    def read(self, line: str) -> tuple[bool, str, bool, list[str], list[int]]:
+        """(whether signs show an error, the line without them, whether it ends in a broken word, its tokens, the places of pairs that are not
+        safe)."""
+        wrong = False
+        if _ADDED_RE.search(line) or "!" in line and _IN_WORD.search(line):
+            wrong = True
+            line = _IN_WORD_I.sub(lambda m: (m[1] or "") + "i", _ADDED_RE.sub("", line))
+        if "!" in line and (mended := self.points(line)) != line:
+            wrong, line = True, mended
+        broken = bool(_BROKEN.search(line))
+        ts, known, safe = tokens(line.rstrip()[:-1] if broken else line), self.safe_pairs, self.safe
+        return wrong, line, broken, ts, [i for i, p in enumerate(zip(ts, ts[1:])) if not (known[p] if p in known else safe(*p))]
+
+    def scan(self, line: str) -> tuple[bool, str, bool, list[str], list[int]]:
+        """``read``, remembered: answers of several models share most lines."""
         got = self.lines.get(line)
         if got is None:
-            ts, known, safe = tokens(line), self.safe_pairs, self.safe
-            got = ts, [i for i, p in enumerate(zip(ts, ts[1:])) if not (known[p] if p in known else safe(*p))]
             if len(self.lines) >= 60_000:
                 self.lines.clear()
-            self.lines[line] = got
+            got = self.lines[line] = self.read(line)
         return got
 
     def decode(self, ts: list[str], unsafe: set[int]) -> dict[int, str]:
@@ -345,27 +364,24 @@ class Channel:
         wrong: set[int] = set()
         heads: dict[int, tuple[int, int]] = {}  # token -> line of its first part, that part's length
         for i in body:
-            line = lines[i]
-            if _ADDED_RE.search(line) or _IN_WORD.search(line):
-                wrong.add(i)
-                line = _ADDED_RE.sub("", line)
-                line = re.sub(r"([^\W\d_])!(?=[^\W\d_:])", r"\1i", line)
-            if "!" in line and (mended := self.points(line)) != line:
-                wrong.add(i)
-                line = mended
             start = len(ts)
             if carry:
+                line = lines[i]
                 m = re.match(r"\s*[^\W_]+", line)
                 if m and not _HAN_RE.search(m[0]):
                     heads[start] = (carried, len(carry))
-                line = carry + (line.lstrip() if m else line)
+                bad, line, broken, got, places = self.read(carry + (line.lstrip() if m else line))
                 carry = ""
-            if _BROKEN.search(line):
+            else:
+                bad, line, broken, got, places = self.scan(lines[i])
+            if bad:
+                wrong.add(i)
+            if broken:  # the last token waits for the rest of its word
                 noise.append((i + 1, "broken_word"))
-                line = line.rstrip()[:-1]
-                m = re.search(r"[^\W_]+$", line)
+                m = _LAST_WORD.search(line.rstrip()[:-1])
                 carry, carried, line = m[0], i, line[: m.start()]
-            got, places = self.scan(line)
+                got = got[:-1]
+                places = [k for k in places if k < len(got) - 1]
             if got:
                 if not self.is_safe((ts[-1], got[0])):
                     unsafe.add(start - 1)
@@ -430,7 +446,7 @@ def texts(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
 def fit(records: DataFrame, ocr_results: DataFrame):
     """The channel's counts over all rows, as a broadcast: at most 1 / PAIR_SHARE pairs and 2 / SHAPE_SHARE header shapes."""
     ok = F.coalesce(F.regexp_replace("error", r"[\s\x{A0}\x{3000}]+", ""), F.lit("")) == ""
-    rows = records.select("han", F.col("meaning").alias("shown"), F.col("han_raw").alias("read")).unionByName(ocr_results.where(ok).select(F.lit(None).cast("string").alias("han"), F.col("text").alias("shown"), F.lit(None).cast("string").alias("read")))
+    rows = records.select("han", F.col("meaning").alias("shown"), F.when(F.col("han_raw") != F.col("han"), F.col("han_raw")).alias("read")).unionByName(ocr_results.where(ok).select(F.lit(None).cast("string").alias("han"), F.col("text").alias("shown"), F.lit(None).cast("string").alias("read")))
     from vellum.tables import written
 
     counted = written(count(rows), "scan-counts")
@@ -449,20 +465,24 @@ def fit(records: DataFrame, ocr_results: DataFrame):
     return records.sparkSession.sparkContext.broadcast((pairs, confused, headers))
 
 
+FIELDS = (("records", "han_raw"), ("records", "meaning"), ("ocr_results", "text"))
+
+
 def _run(shared, df: DataFrame, join: bool, schema: str, make) -> DataFrame:
     def run(batches):
         channel = Channel(*shared.value)
         for b in batches:
-            keys, rows = [b.column(i).to_pylist() for i in range(3)], []
-            for table, row, field, text, corrected in zip(*keys, b.column(3).to_pylist(), b.column(4).to_pylist()):
-                rows += make(channel, table, row, field, *channel.repair(text, corrected, join))
+            rows = []
+            for what, row, text, corrected in zip(*(b.column(i).to_pylist() for i in range(4))):
+                rows += make(*FIELDS[what], row, *channel.repair(text, corrected, join))
             names = schema_names
             cols = list(map(list, zip(*rows))) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     schema_names = [x.strip().split()[0] for x in schema.split(",")]
     types = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.strip().split()[1]] for x in schema.split(",")]
-    return df.mapInArrow(run, schema)
+    what = F.when(F.col("field_name") == "han_raw", 0).when(F.col("field_name") == "meaning", 1).otherwise(2)
+    return df.select(what.alias("what"), "row_id", "text", "corrected").mapInArrow(run, schema)
 
 
 def noise(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
@@ -473,10 +493,12 @@ def noise(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
     """
     shared = fit(records, ocr_results)
 
-    def make(channel, table, row, field, noise, text):
+    def make(table, field, row, noise, text):
         return [(table, row, field, line, kind) for line, kind in set(noise)]
 
-    found = _run(shared, texts(records, ocr_results), False, "table_name string, row_id long, field_name string, line_no int, noise string", make)
+    # one line that a reader left as it was has nothing to tell
+    x = texts(records, ocr_results).where(~F.coalesce((F.col("text") == F.col("corrected")) & ~F.col("text").contains("\n"), F.lit(False)))
+    found = _run(shared, x, False, "table_name string, row_id long, field_name string, line_no int, noise string", make)
     return found.distinct()
 
 
@@ -484,7 +506,7 @@ def repaired(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
     """(table_name, row_id, field_name, repaired): continuous paragraphs without furniture, broken words and misread characters."""
     shared = fit(records, ocr_results)
 
-    def make(channel, table, row, field, noise, text):
+    def make(table, field, row, noise, text):
         return [(table, row, field, text)]
 
     return _run(shared, texts(records, ocr_results), True, "table_name string, row_id long, field_name string, repaired string", make)
