@@ -6,6 +6,7 @@ read and by n-gram counts of the whole corpus, and decoded by Viterbi.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import unicodedata
@@ -54,7 +55,7 @@ _BARE_LETTERS = LetterModel({})
 
 def plain(text: str) -> str:
     """The text without what problem 5 mends, so that only errors of the scan are left."""
-    if text.isascii() or (unicodedata.is_normalized("NFC", text) and not _MENDS.search(text)):
+    if text.isascii() or not _MENDS.search(text):
         return text
     # soft hyphens at a line's end are marks of broken words and stay
     return "\n".join(form(line[:-1], _BARE_LETTERS) + "-" if line.endswith("­") else form(line, _BARE_LETTERS) for line in text.split("\n"))
@@ -100,6 +101,7 @@ def count(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        gc.disable()  # tables of millions of small objects and no cycles
         pairs, shapes, confused, n = Counter(), Counter(), Counter(), 0
         for b in batches:
             for han, shown, read in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -166,7 +168,7 @@ class Channel:
         self.longest = max(map(len, headers), default=0) + 8
         self.steps: dict[tuple[str, str], float] = {}
         self.lines: dict[str, tuple[bool, str, bool, list[str], list[int]]] = {}
-        self.furniture: dict[str, bool] = {}
+        self.furniture: dict[str, bool | None] = {}
         self.spans: dict[tuple[str, ...], tuple[str, ...]] = {}
         self.of: dict[str, dict[str, float]] = {}
 
@@ -304,14 +306,14 @@ class Channel:
         return max((s + self.step(a, span[-1]), path) for a, (s, path) in paths.items())[1]
 
     def is_furniture(self, line: str, after: str | None) -> bool:
-        if _BARE.fullmatch(line):  # a number may also stand before its unit of measure
-            follows = tokens(after)[:1] if after else []
-            return not (follows and follows[0] in self.units) and not (_HAN_RE.search(line) and follows and self.pairs.get((line.strip()[-1], follows[0]), 0) > 0.01 * self.n.get(line.strip()[-1], 0))
-        got = self.furniture.get(line)
-        if got is None:
+        got = self.furniture.get(line, 0)
+        if got == 0 and got is not False:
             if len(self.furniture) >= 60_000:
                 self.furniture.clear()
-            got = self.furniture[line] = self._is_furniture(line)
+            got = self.furniture[line] = None if _BARE.fullmatch(line) else self._is_furniture(line)
+        if got is None:  # a bare number may also stand before its unit of measure
+            follows = tokens(after)[:1] if after else []
+            return not (follows and follows[0] in self.units) and not (_HAN_RE.search(line) and follows and self.pairs.get((line.strip()[-1], follows[0]), 0) > 0.01 * self.n.get(line.strip()[-1], 0))
         return got
 
     def _is_furniture(self, line: str) -> bool:
@@ -470,6 +472,7 @@ FIELDS = (("records", "han_raw"), ("records", "meaning"), ("ocr_results", "text"
 
 def _run(shared, df: DataFrame, join: bool, schema: str, make) -> DataFrame:
     def run(batches):
+        gc.disable()  # tables of millions of small objects and no cycles
         channel = Channel(*shared.value)
         for b in batches:
             rows = []

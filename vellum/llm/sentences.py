@@ -67,9 +67,11 @@ def masked(text: Column) -> Column:
     """The text with decimals, URLs, abbreviations, quotations and notes masked; as long as the text."""
     s = F.regexp_replace(text, "[-]", "")  # placeholders of the text itself
     s = F.translate(s, "⽿⽽⼰" + BLANKS, "耳而已" + " " * len(BLANKS))
-    s = F.regexp_replace(s, r"(?<=[0-9０-９])[.．](?=[0-9０-９])", DOT)
-    s = let(s, lambda s: F.when(s.contains("://"), F.regexp_replace(s, r"(?<=[A-Za-z0-9/_-])[.?!](?=[A-Za-z0-9/_-])", DOT)).otherwise(s))
-    s = F.regexp_replace(s, rf"(?<=(?<![\p{{L}}])(?:{ABBREVIATIONS}))\.(?=\s?[\p{{Ll}}0-9(,;:])|(?<=\b\p{{Lu}})\.(?=\s?\p{{Lu}})|(?<=\bv)\.(?=v\b)|(?<=\bv{DOT}v|\bv\.v)\.(?=\s*[,;:\p{{Ll}})])", DOT)
+    s = F.regexp_replace(s, r"[.．](?<=[0-9０-９].)(?=[0-9０-９])", DOT)
+    s = let(s, lambda s: F.when(s.contains("://"), F.regexp_replace(s, r"[.?!](?<=[A-Za-z0-9/_-].)(?=[A-Za-z0-9/_-])", DOT)).otherwise(s))
+    # the stop comes first in the pattern, so that what is before it is looked at only there
+    short = rf"\.(?<=(?<!\p{{L}})(?:{ABBREVIATIONS})\.)(?=\s?[\p{{Ll}}0-9(,;:])|\.(?<=(?<!\p{{L}})\p{{Lu}}\.)(?=\s?\p{{Lu}})|\.(?<=(?<!\p{{L}})v\.)(?=v(?!\p{{L}}))|\.(?<=(?<!\p{{L}})v[{DOT}.]v\.)(?=\s*[,;:\p{{Ll}}])"
+    s = let(s, lambda s: F.when(s.rlike(r"[\p{IsLatin}]\."), F.regexp_replace(s, short, DOT)).otherwise(s))
     for opening, closing in NOTES:
         s = _inside(s, opening, closing, NOTED)
     s = _inside(s, "[", "]", NOTED)
