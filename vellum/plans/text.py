@@ -71,7 +71,7 @@ QUERIES = {
     "sentence_ids": lambda s, d: versions(load(s, d, "aligned_sentences")).select("row_id", T.parse_sentence_id(c("sentence_id")).alias("p")).select("row_id", "p.*"),
     "sentence_id_roundtrip": lambda s, d: versions(load(s, d, "aligned_sentences")).select("row_id", "sentence_id", T.parse_sentence_id(c("sentence_id")).alias("p")).select("row_id", "sentence_id", T.sentence_id(c("p.chapter"), c("p.page"), c("p.sentence")).alias("again")),
     "page_filter": lambda s, d: page_list(s, d).select("o_orderkey", T.page_filter(c("spec")).alias("pages")),
-    "page_suffix": lambda s, d: page_list(s, d).select("o_orderkey", T.page_suffix(T.page_filter(F.element_at(F.split("spec", ","), -1))).alias("run"), T.page_suffix(T.page_filter(c("spec"))).alias("some")),
+    "page_suffix": lambda s, d: page_list(s, d).select("o_orderkey", T.page_suffix(T.page_filter(F.element_at(F.split("spec", ","), -1))).alias("run"), T.page_suffix(T.page_filter(c("spec"))).alias("listed")),
     "retry_delay": lambda s, d: ocr(s, d).select("row_id", T.retry_delay(F.concat(F.lit("quota, retry in "), (c("row_id") % 40).cast("string"), F.lit(".5s"))).alias("seconds")),
     "batch_states": lambda s, d: load(s, d, "jobs").select("id", "updated_at", T.batch_state(F.concat(F.lit("JOB_STATE_"), F.when(c("status") == "done", "SUCCEEDED").otherwise(F.upper("status")))).alias("state")).distinct(),
     "passages": lambda s, d: rec(s, d).select("row_id", T.passage(F.coalesce("meaning", F.lit(""))).alias("passage")),
@@ -126,7 +126,7 @@ SQL = {
     "sentence_ids": f"select row_id, sentence_id[1:7] prefix, sentence_id[9:11]::int chapter, sentence_id[13:15]::int page, sentence_id[17:18]::int sentence from {S}",
     "sentence_id_roundtrip": f"select row_id, sentence_id, sentence_id again from {S}",
     "page_filter": f"select o_orderkey, [a::int, lo::int, (lo + 1)::int, hi::int] pages from {SPEC}",
-    "page_suffix": f"select o_orderkey, '_p' || lo || '-' || hi run, case when a = lo - 1 then '_p' || a || '-' || hi else '_p' || a || '-' || lo || '-' || (lo + 1) || '-' || hi end some from {SPEC}",
+    "page_suffix": f"select o_orderkey, '_p' || lo || '-' || hi run, case when a = lo - 1 then '_p' || a || '-' || hi else '_p' || a || '-' || lo || '-' || (lo + 1) || '-' || hi end listed from {SPEC}",
     "retry_delay": f"select row_id, (row_id % 40) + 0.5 \"seconds\" from {O}",
     "batch_states": "select distinct id, updated_at, case status when 'done' then 'succeeded' when 'failed' then 'failed' when 'running' then 'running' when 'pending' then 'pending' else 'unknown' end state from jobs",
     "passages": f"select row_id, case when t <> '' and not starts_with(t, 'passage:') and not starts_with(t, 'query:') then 'passage: ' || t else t end passage from (select row_id, regexp_replace(coalesce(meaning, ''), '^{B}+|{B}+$', '', 'g') t from (select distinct on (row_id) * from records))",

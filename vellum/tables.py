@@ -9,9 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import ship
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``, with filters and columns left to the scan."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
