@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+from statistics import median
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 
-COLUMNS_SCHEMA = "page_key string, ord int, column_id int, reading_idx int, x_center double"
+KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def by_page(df: DataFrame, columns_: list[str], run: Callable[[str, list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``run`` makes of each page's rows, for what depends on a page's order. Pages are gathered in the JVM and go to Python many to
+    an Arrow batch; a page holds as many boxes as paper has room for."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
 
+    def work(batches):
+        for b in batches:
+            out = [row for key, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for row in run(key, rows)]
+            cols = list(map(list, zip(*out))) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(cols, kinds)], list(names))
 
-def column_clusters(cx: np.ndarray, width: np.ndarray, alpha: float = 0.5, least: int = 1, merge: bool = True) -> list[tuple[float, list[int]]]:
+    return df.groupBy("page_key").agg(F.collect_list(F.struct(*columns_)).alias("rows")).mapInArrow(work, schema)
+
+
+def column_clusters(cx: list[float], width: list[float], alpha: float = 0.5, least: int = 1, merge: bool = True) -> list[tuple[float, list[int]]]:
     """Columns of boxes by greedy first fit on centres from right to left: (centre, members). A column's centre is the running mean
     of its members; neighbours within twice the threshold of the merged centre so far join it."""
-    positive = width[width > 0]
-    limit = alpha * (float(np.median(positive)) if len(positive) else 40.0)
+    positive = [w for w in width if w > 0]
+    limit = alpha * (median(positive) if positive else 40.0)
     columns: list[list] = []  # [sum, members]
-    for i in np.lexsort((np.arange(len(cx)), -cx)):
+    for i in sorted(range(len(cx)), key=lambda k: (-cx[k], k)):
         home = next((c for c in columns if abs(cx[i] - c[0] / len(c[1])) <= limit), None)
         if home is None:
             columns.append(home := [0.0, []])
-        home[0] += float(cx[i])
-        home[1].append(int(i))
+        home[0] += cx[i]
+        home[1].append(i)
     if merge and len(columns) > 1:
         columns.sort(key=lambda c: -c[0] / len(c[1]))
         joined = [columns[0]]
@@ -40,18 +56,18 @@ def column_clusters(cx: np.ndarray, width: np.ndarray, alpha: float = 0.5, least
 
 
 def columns(boxes: DataFrame, alpha: float = 0.5, least: int = 1, merge: bool = True) -> DataFrame:
-    """(page_key, ord, column_id, reading_idx, x_center) of boxes (page_key, ord, cx, cy, w). Greedy clustering depends on the order of a
-    page's boxes, so a page is one group; a page holds as many boxes as paper has room for. No boxes, no rows."""
+    """(page_key, ord, column_id, reading_idx, x_center) of boxes (page_key, ord, cx, cy, w). Boxes without a centre are left out; no boxes, no
+    rows."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", kind="stable").reset_index(drop=True)
-        cy, order, rows = page["cy"].to_numpy(float), page["ord"].to_numpy(), []
-        for column, (centre, members) in enumerate(column_clusters(page["cx"].to_numpy(float), page["w"].to_numpy(float), alpha, least, merge)):
-            for i in sorted(members, key=lambda k: cy[k]):
-                rows.append((page["page_key"].iloc[0], int(order[i]), column, len(rows), centre))
-        return pd.DataFrame(rows, columns=["page_key", "ord", "column_id", "reading_idx", "x_center"])
+    def run(key, rows):
+        rows.sort(key=lambda r: r["ord"])
+        out = []
+        for column, (centre, members) in enumerate(column_clusters([r["cx"] for r in rows], [r["w"] or 0.0 for r in rows], alpha, least, merge)):
+            for i in sorted(members, key=lambda k: rows[k]["cy"]):
+                out.append((key, rows[i]["ord"], column, len(out), centre))
+        return out
 
-    return boxes.select("page_key", "ord", "cx", "cy", "w").where("cx is not null and cy is not null").groupBy("page_key").applyInPandas(run, COLUMNS_SCHEMA)
+    return by_page(boxes.where("cx is not null and cy is not null"), ["ord", "cx", "cy", "w"], run, "page_key string, ord int, column_id int, reading_idx int, x_center double")
 
 
 def lines(spans: DataFrame) -> DataFrame:
@@ -191,17 +207,17 @@ def overlaps(a: DataFrame, b: DataFrame, least: float = 0.25, cell: float = 200.
 def matched(candidates: DataFrame) -> DataFrame:
     """(page_key, a_ord, b_ord, iou): one-to-one matches, each a in order takes its best b that is free. Greedy, so a page is one group."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for a, rows in page.sort_values(["a_ord", "b_ord"]).groupby("a_ord", sort=True):
-            free = rows[~rows["b_ord"].isin(used)]
-            if len(free):
-                best = free.loc[free["iou"].idxmax()]
-                used.add(best["b_ord"])
-                out.append((page["page_key"].iloc[0], int(a), int(best["b_ord"]), float(best["iou"])))
-        return pd.DataFrame(out, columns=["page_key", "a_ord", "b_ord", "iou"])
+    def run(key, rows):
+        rows.sort(key=lambda r: (r["a_ord"], -r["iou"], r["b_ord"]))
+        used, done, out = set(), set(), []
+        for r in rows:
+            if r["a_ord"] not in done and r["b_ord"] not in used:
+                done.add(r["a_ord"])
+                used.add(r["b_ord"])
+                out.append((key, r["a_ord"], r["b_ord"], r["iou"]))
+        return out
 
-    return candidates.groupBy("page_key").applyInPandas(run, "page_key string, a_ord int, b_ord int, iou double")
+    return by_page(candidates, ["a_ord", "b_ord", "iou"], run, "page_key string, a_ord int, b_ord int, iou double")
 
 
 def unmatched(b: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -232,27 +248,27 @@ def page_text(items: DataFrame) -> DataFrame:
     share = T.script_ratios(F.col("text"))["cjk"]
     x = x.withColumn("cy", F.col("y0") + F.col("h") / 2).withColumn("vertical", (F.col("h") > 1.4 * F.col("w")) & (share >= 0.4))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
+        rows.sort(key=lambda r: (r["cy"], r["x0"], r["ord"]))
         out: list[tuple[float, int, str]] = []
-        flat = page[~page["vertical"]].sort_values(["cy", "x0", "ord"], kind="stable")
-        if len(flat):
-            limit = max(0.6 * sorted(flat["h"])[len(flat) // 2], 4.0)
-            groups: list[list] = []
-            for r in flat.itertuples():
-                if groups and abs(r.cy - sum(q.cy for q in groups[-1]) / len(groups[-1])) <= limit:
-                    groups[-1].append(r)
-                else:
-                    groups.append([r])
-            for g in groups:
-                key = sum(q.cy for q in g) / len(g)
-                g.sort(key=lambda q: q.x0)
-                made = g[0].text
-                for p, q in zip(g, g[1:]):
-                    made += (" " if q.x0 - p.x1 > 0.35 * p.h else "") + q.text
-                out.append((key, len(out), made))
-        for r in page[page["vertical"]].sort_values(["cy", "x0", "ord"], kind="stable").itertuples():
-            out.append((r.cy, len(out), r.text))
-        out.sort(key=lambda v: (v[0], v[1]))
-        return pd.DataFrame([(page["page_key"].iloc[0], "\n".join(t for _, _, t in out if t))], columns=["page_key", "text"])
-
-    return x.groupBy("page_key").applyInPandas(run, "page_key string, text string")
+        flat, upright = [r for r in rows if not r["vertical"]], [r for r in rows if r["vertical"]]
+        limit = max(0.6 * sorted(r["h"] for r in flat)[len(flat) // 2], 4.0) if flat else 0.0
+        groups: list[list] = []
+        for r in flat:
+            if groups and abs(r["cy"] - sum(q["cy"] for q in groups[-1]) / len(groups[-1])) <= limit:
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+        for g in groups:
+            at = sum(q["cy"] for q in g) / len(g)
+            g.sort(key=lambda q: q["x0"])
+            made = g[0]["text"]
+            for p, q in zip(g, g[1:]):
+                made += (" " if q["x0"] - p["x1"] > 0.35 * p["h"] else "") + q["text"]
+            out.append((at, len(out), made))
+        for r in upright:
+            out.append((r["cy"], len(out), r["text"]))
+        out.sort(key=lambda v: v[:2])
+        return [(key, "\n".join(t for _, _, t in out if t))]
+
+    return by_page(x, ["ord", "text", "x0", "x1", "h", "cy", "vertical"], run, "page_key string, text string")
