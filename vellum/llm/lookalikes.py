@@ -27,10 +27,6 @@ LOOK_ALIKES = {
 _UNSEEN = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF), (0x0, 0x8), (0xE, 0x1F), (0x7F, 0x9F))
 #: Blanks other than the ordinary one; tab and line ends are not blanks of a line, U+3000 is one outside Han text.
 _BLANK = ((0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F))
-#: Blocks that can hold variant forms or letters of other scripts, and combining marks.
-_OTHER = ((0xAA, 0xAA), (0xB2, 0xB3), (0xB9, 0xBA), (0xD0, 0xD0), (0xF0, 0xF0), (0x131, 0x131), (0x132, 0x133), (0x13F, 0x140), (0x149, 0x149), (0x17F, 0x17F), (0x189, 0x189), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x250, 0x36F), (0x370, 0x58F), (0x1AB0, 0x1AFF), (0x1D00, 0x1DFF), (0x1F00, 0x1FFF), (0x2070, 0x209F), (0x20D0, 0x20FF), (0x2100, 0x218F), (0x2460, 0x24FF), (0x2C60, 0x2C7F), (0x2E80, 0x2FDF), (0x3007, 0x3007), (0x3200, 0x33FF), (0xA640, 0xA69F), (0xF900, 0xFAFF), (0xFB00, 0xFB4F), (0xFE20, 0xFE2F), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFFDC), (0x1D400, 0x1D7FF), (0x1F100, 0x1F1FF), (0x2F800, 0x2FA1F))
-
-
 def _java(ranges) -> str:
     return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
@@ -40,12 +36,56 @@ def _python(ranges) -> str:
 
 
 _HAN_JAVA = r"\x{2E80}-\x{2FDF}\x{3001}-\x{303F}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF01}-\x{FF0F}\x{20000}-\x{3FFFF}"
-#: A text without these is in its one form already: nothing to fold, and a lattice with one path.
-OPEN_JAVA = f"[{_java(_UNSEEN + _BLANK + _OTHER)}]|(?<![{_HAN_JAVA}\\x{{3000}}])\\x{{3000}}+(?![{_HAN_JAVA}\\x{{3000}}])"
 _UNSEEN_RE, _BLANK_RE = re.compile(f"[{_python(_UNSEEN)}]"), re.compile(f"[{_python(_BLANK)}]")
 _WIDE_RE = re.compile("(?<![⺀-⿟、-〿㐀-鿿豈-﫿！-／\U00020000-\U0003ffff　])　+(?![⺀-⿟、-〿㐀-鿿豈-﫿！-／\U00020000-\U0003ffff　])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*")
 
+
+
+def _ranges(points) -> list[list[int]]:
+    out: list[list[int]] = []
+    for cp in sorted(points):
+        if out and cp == out[-1][1] + 1:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return out
+
+
+def is_open(text: Column) -> Column:
+    """False for a text that is in its one form already, for it has nothing to fold and its lattice has one path.
+
+    A short class of everyday characters settles most texts; the long class of all that can change is asked of the others.
+    """
+    everyday, all_ = open_patterns()
+    return text.rlike(everyday) & text.rlike(all_)
+
+
+@lru_cache(1)
+def open_patterns() -> tuple[str, str]:
+    """Java patterns: any character that is not everyday, and any that can change.
+
+    Made from the Unicode tables: what is deleted, odd blanks, letters of the look-alike table, characters with a compatibility form that is
+    folded, and those that compose with the character before them.
+    """
+    found = set(map(ord, LOOK_ALIKES))
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        parts = unicodedata.decomposition(ch)
+        if parts:
+            if plain(ch) != ch or unicodedata.normalize("NFC", ch) != ch:
+                found.add(cp)
+            if parts[0] != "<" and " " in parts:
+                found.add(int(parts.split()[-1], 16))
+        elif unicodedata.combining(ch):
+            found.add(cp)
+    found |= set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # parts of Hangul syllables
+    ranges = _ranges(found)
+    blocks = ((0x9, 0xA), (0x20, 0x7E), (0xA1, 0x17F), (0x1A0, 0x1B0), (0x1EA0, 0x1EF9), (0x2010, 0x2027), (0x25CB, 0x25CB), (0x3001, 0x3020), (0x3400, 0x9FFF), (0xFF01, 0xFF20))
+    everyday = _ranges({cp for a, b in blocks for cp in range(a, b + 1)} - found - {cp for a, b in _UNSEEN + _BLANK for cp in range(a, b + 1)})
+    return f"[^{_java(everyday)}]", f"[{_java(_UNSEEN + _BLANK)}{_java(ranges)}]|(?<![{_HAN_JAVA}\\x{{3000}}])\\x{{3000}}+(?![{_HAN_JAVA}\\x{{3000}}])"
+
+
 #: Classes of letters in the n-gram model. Letters outside the listed scripts share a class, so a table has CLASSES**2 entries at most.
 _LETTERS = sorted({ch for a, b in ((0x61, 0x7B), (0xDF, 0x180), (0x1A0, 0x1B1), (0x1E00, 0x1EFF), (0x370, 0x400), (0x400, 0x530), (0x250, 0x2B0)) for ch in map(chr, range(a, b)) if ch.isalpha() and ch == ch.lower()})
 EDGE, REST = 0, 1
@@ -104,8 +144,9 @@ class Model:
         return got
 
 
-#: Log costs of replacing a letter by one that it looks like, and of a change of script within a word.
-REPLACED, SWITCHED = -2.0, -12.0
+#: Log costs of replacing a letter by one that it looks like, of a change of script within a word, and of a letter that is not Latin in a word that has Latin
+#: letters.
+REPLACED, SWITCHED, FOREIGN = -2.0, -12.0, -2.5
 _LIKE_RE = re.compile(f"[{''.join(LOOK_ALIKES)}]")
 _LIKE: dict[str, set[str]] = {}
 for _a, _b in LOOK_ALIKES.items():
@@ -129,7 +170,7 @@ def decode(token: str, model: Model) -> str:
     letters = [c for c in token if c != "."]
     if len(letters) < 2 or not any(c in LOOK_ALIKES for c in letters):
         return token
-    table = class_table()
+    table, latin = class_table(), any(script(c) == "LATIN" for c in letters)
     paths = {"": (0.0, "")}  # last letter -> score, text
     for ch in token:
         if ch == ".":
@@ -138,6 +179,8 @@ def decode(token: str, model: Model) -> str:
         now: dict[str, tuple[float, str]] = {}
         for c in (ch, *sorted(_LIKE.get(ch, ()))):
             k, cost = int(table[ord(c)]), 0.0 if c == ch else REPLACED
+            if latin and script(c) != "LATIN":
+                cost += FOREIGN
             for last, (s, t) in paths.items():
                 total = s + cost + model.score(int(table[ord(last)]) if last else EDGE, k)
                 if last and script(last) != script(c):
@@ -180,7 +223,7 @@ def fit(*texts: tuple[DataFrame, str]) -> dict[int, int]:
 def form_of(spark, counts: dict[int, int]):
     """A column function: the one form of a text column; null for null.
 
-    Only texts that OPEN_JAVA finds go to Python, others have one path and stay.
+    Only texts that is_open go to Python, others have one path and stay.
     """
     shared = spark.sparkContext.broadcast(counts)  # bounded by CLASSES**2 entries
 
@@ -190,7 +233,7 @@ def form_of(spark, counts: dict[int, int]):
         return column.map(lambda t: None if t is None else form(t, model))
 
     def apply(text: Column) -> Column:
-        return F.coalesce(decoded(F.when(text.rlike(OPEN_JAVA), text)), text)
+        return F.coalesce(decoded(F.when(is_open(text), text)), text)
 
     return apply
 
@@ -214,5 +257,5 @@ def changed(records: DataFrame, detections: DataFrame) -> DataFrame:
     """(table_name, row_id, field_name) of each value whose one form is another text, each once."""
     x = fields(records, detections)
     f = form_of(records.sparkSession, fit((x, "text")))
-    open_ = x.where(F.col("text").rlike(OPEN_JAVA))
+    open_ = x.where(is_open(F.col("text")))
     return open_.withColumn("form", f(F.col("text"))).where("form <> text").select("table_name", "row_id", "field_name").distinct()

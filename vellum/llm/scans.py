@@ -57,10 +57,12 @@ def plain(text: str) -> str:
     """The text without what problem 5 mends, so that only errors of the scan are left."""
     if text.isascii() or not _MENDS.search(text):
         return text
+    text = text.translate(_STROKED)
     # soft hyphens at a line's end are marks of broken words and stay
     return "\n".join(form(line[:-1], _BARE_LETTERS) + "-" if line.endswith("­") else form(line, _BARE_LETTERS) for line in text.split("\n"))
 
 
+_STROKED = str.maketrans("ÐƉðɖ", "ĐĐđđ")
 _MENDS = re.compile("[­​-‏⁠-⁤﻿︀-️̀-ͯͰ-αγ-ϿЀ-ԯ  -   ０-９Ａ-Ｚａ-ｚ⺀-⿟豈-﫿ÐƉ\U000e0100-\U000e01ef]")
 
 

@@ -21,7 +21,8 @@ BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 PARTICLES = ("也(?!者)", "矣", "焉(?!能)", "耳", "而已", "云爾", "謹奏", "欽此")
 #: What may follow a quotation within its sentence.
 AFTER_QUOTE = ("等因", "等語", "等情", "等由", "云云")
-#: Words that end in a full stop which is no end when a word or number follows.
+#: Words that end in a full stop which is no end when a small letter or number follows; titles also stand before names.
+TITLES = "Dr|Mr|Mrs|Ms|St|MM|Mme|Mlle|Prof|ThS|TS|GS|PGS|Tp|TP"
 ABBREVIATIONS = "T|tr|q|no|nos|cf|x|p|pp|vol|fol|ff|ch|art|Dr|Mr|Mrs|Ms|St|M|MM|Mme|Mlle|Prof|ed|eds|éd|trad|ms|mss|n|vv|Th|ThS|TS|GS|PGS|Tp|TP|Q|t|f|v|No|Fig|fig|etc|e|i|g|cap"
 
 # Private-use placeholders: of decimals and abbreviations, in quotations, in notes; and the mark after a unit.
@@ -70,7 +71,7 @@ def masked(text: Column) -> Column:
     s = F.regexp_replace(s, r"[.．](?<=[0-9０-９].)(?=[0-9０-９])", DOT)
     s = let(s, lambda s: F.when(s.contains("://"), F.regexp_replace(s, r"[.?!](?<=[A-Za-z0-9/_-].)(?=[A-Za-z0-9/_-])", DOT)).otherwise(s))
     # the stop comes first in the pattern, so that what is before it is looked at only there
-    short = rf"\.(?<=(?<!\p{{L}})(?:{ABBREVIATIONS})\.)(?=\s?[\p{{Ll}}0-9(,;:])|\.(?<=(?<!\p{{L}})\p{{Lu}}\.)(?=\s?\p{{Lu}})|\.(?<=(?<!\p{{L}})v\.)(?=v(?!\p{{L}}))|\.(?<=(?<!\p{{L}})v[{DOT}.]v\.)(?=\s*[,;:\p{{Ll}}])"
+    short = rf"\.(?<=(?<!\p{{L}})(?:{ABBREVIATIONS})\.)(?=\s?[\p{{Ll}}0-9(,;:])|\.(?<=(?<!\p{{L}})(?:{TITLES})\.)(?=\s?\p{{Lu}})|\.(?<=(?<!\p{{L}})\p{{Lu}}\.)(?=\s?\p{{Lu}})|\.(?<=(?<!\p{{L}})v\.)(?=v(?!\p{{L}}))|\.(?<=(?<!\p{{L}})v[{DOT}.]v\.)(?=\s*[,;:\p{{Ll}}])"
     s = let(s, lambda s: F.when(s.rlike(r"[\p{IsLatin}]\."), F.regexp_replace(s, short, DOT)).otherwise(s))
     for opening, closing in NOTES:
         s = _inside(s, opening, closing, NOTED)
