@@ -221,6 +221,11 @@ class Channel:
     def weight(self, a: str, b: str) -> float:
         return self.pairs.get((a, b), 0) + SMOOTH * (self.n.get(b, 0) + 0.5) / (self.total + 1)
 
+    def step_read(self, a: str, b: str) -> float:
+        """``step`` for a pair as it was read, without its own occurrence in the counts: an error seen once speaks for nothing."""
+        own = max(self.pairs.get((a, b), 0) - 1, 0) + SMOOTH * (max(self.n.get(b, 0) - 1, 0) + 0.5) / (self.total + 1)
+        return math.log(own / (max(self.n.get(a, 0) - 1, 0) + SMOOTH))
+
     def step(self, a: str, b: str) -> float:
         got = self.steps.get((a, b))
         if got is None:
@@ -233,7 +238,7 @@ class Channel:
         """Whether no candidate in place of a or b could win on this pair."""
         got = self.safe_pairs.get((a, b))
         if got is None:
-            k = self.weight(a, b)
+            k = max(self.pairs.get((a, b), 0) - 1, 0) + SMOOTH * (max(self.n.get(b, 0) - 1, 0) + 0.5) / (self.total + 1)
             got = all(self.weight(a, v) * math.exp(p) * 4 < k for v, p in self.candidates(b).items()) and all(self.weight(v, b) * math.exp(p) * 4 < k for v, p in self.candidates(a).items())
             if len(self.safe_pairs) > 500_000:
                 self.safe_pairs.clear()
@@ -299,13 +304,13 @@ class Channel:
 
     def viterbi(self, span: tuple[str, ...]) -> tuple[str, ...]:
         """The best words in place of the inner tokens of a span, between its two outer ones."""
-        paths = {span[0]: (0.0, ())}
+        paths, before = {span[0]: (0.0, ())}, span[0]
         for t in span[1:-1]:
             now = {}
             for v, p in ((t, 0.0), *self.candidates(t).items()):
-                now[v] = max((s + p + self.step(a, v), (*path, v)) for a, (s, path) in paths.items())
-            paths = now
-        return max((s + self.step(a, span[-1]), path) for a, (s, path) in paths.items())[1]
+                now[v] = max((s + p + (self.step_read(a, v) if v == t and a == before else self.step(a, v)), (*path, v)) for a, (s, path) in paths.items())
+            paths, before = now, t
+        return max((s + (self.step_read(a, span[-1]) if a == before else self.step(a, span[-1])), path) for a, (s, path) in paths.items())[1]
 
     def is_furniture(self, line: str, after: str | None) -> bool:
         got = self.furniture.get(line, 0)
