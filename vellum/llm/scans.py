@@ -112,7 +112,7 @@ def count(texts: DataFrame) -> DataFrame:
                     if shown:
                         lines = shown.split("\n")
                         # Han text is counted as corrected only
-                        ts = tokens(shown if not _HAN_RE.search(shown) else " ".join(x for x in lines if not _HAN_RE.search(x)))
+                        ts = tokens(shown if not _HAN_RE.search(shown) else " ".join("." if _HAN_RE.search(x) else x for x in lines))
                         pairs.update(zip([".", *ts], [*ts, "."]))
                         n += 1
                         for i, line in enumerate(lines):
@@ -392,6 +392,15 @@ class Channel:
                 got = got[:-1]
                 places = [k for k in places if k < len(got) - 1]
             if got:
+                if ts[-1] not in ".:" and bool(_HAN_RE.match(ts[-1])) != bool(_HAN_RE.match(got[0])) and got[0] not in ".:":
+                    # Latin and Han lines are not each other's context
+                    if not self.is_safe((ts[-1], ".")):
+                        unsafe.add(start - 1)
+                    ts.append(".")
+                    owner.append(-1)
+                    if start in heads:
+                        heads[start + 1] = heads.pop(start)
+                    start += 1
                 if not self.is_safe((ts[-1], got[0])):
                     unsafe.add(start - 1)
                 if places:
