@@ -12,7 +12,7 @@ from vellum.tables import written
 
 CAPACITY = 2048
 #: Length buckets; more of them mean less padding and a longer plan.
-BUCKETS = 128
+BUCKETS = 400
 #: Parts of a bucket that are ranked apart, so that a bucket with a third of all rows is no single task.
 SALTS = 256
 
@@ -131,11 +131,9 @@ def pack(sizes: DataFrame, id_: str = "doc_id", size: str = "n_tokens", capacity
     bounds, slots, _ = plan(counts, capacity, buckets)
     if not bounds:
         return rows.withColumn("container_id", F.lit(0).cast("long"))
-    table = np.searchsorted(bounds, np.arange(capacity + 1)).tolist()
-    bucket = F.element_at(F.array(*map(F.lit, table)), F.col("n_tokens") + 1) if capacity <= 512 else None
-    if bucket is None:  # a long array literal would be repeated in the plan; a map of bounds as ranges is shorter
-        bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("n_tokens")))
-    marked = rows.withColumn("bucket", bucket.cast("int")).withColumn("part", F.pmod(F.xxhash64(id_, "piece_no"), F.lit(salts)).cast("int"))
+    edges = np.searchsorted(bounds, np.arange(capacity + 1)).tolist()
+    table = sizes.sparkSession.createDataFrame(list(enumerate(edges)), "n_tokens int, bucket int")  # capacity + 1 rows
+    marked = rows.join(F.broadcast(table), "n_tokens").withColumn("part", F.pmod(F.xxhash64(id_, "piece_no"), F.lit(salts)).cast("int"))
     filled, empty = marked.where("n_tokens > 0"), marked.where("n_tokens = 0")
     before, base = {}, {}
     for r in sorted(filled.groupBy("bucket", "part").count().collect()):

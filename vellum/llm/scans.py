@@ -106,20 +106,20 @@ def count(texts: DataFrame) -> DataFrame:
         gc.disable()  # tables of millions of small objects and no cycles
         pairs, shapes, confused, n = Counter(), Counter(), Counter(), 0
         for b in batches:
-            for han, shown, read in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if shown:
-                    shown = plain(shown)
-                    if shown:
-                        lines = shown.split("\n")
-                        # Han text is counted as corrected only
-                        ts = tokens(shown if not _HAN_RE.search(shown) else " ".join("." if _HAN_RE.search(x) else x for x in lines))
+            for shown, times in Counter(b.column(1).to_pylist()).items():  # an answer given twice is read once
+                if shown and (shown := plain(shown)):
+                    lines = shown.split("\n")
+                    # Han text is counted as corrected only
+                    ts = tokens(shown if not _HAN_RE.search(shown) else " ".join("." if _HAN_RE.search(x) else x for x in lines))
+                    for _ in range(times):
                         pairs.update(zip([".", *ts], [*ts, "."]))
-                        n += 1
-                        for i, line in enumerate(lines):
-                            if 8 <= len(line) < 60 and line[-1] not in _MARKS and not line[0].islower() and countable(s := shape(line)):
-                                shapes["a", s] += 1
-                                if i == 0 or i == len(lines) - 1:
-                                    shapes["e", s] += 1
+                    n += times
+                    for i, line in enumerate(lines):
+                        if 8 <= len(line) < 60 and line[-1] not in _MARKS and not line[0].islower() and countable(s := shape(line)):
+                            shapes["a", s] += times
+                            if i == 0 or i == len(lines) - 1:
+                                shapes["e", s] += times
+            for han, read in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 if han:
                     han = plain(han)
                     ts = tokens(han)
@@ -491,9 +491,13 @@ def _run(shared, df: DataFrame, join: bool, schema: str, make) -> DataFrame:
         gc.disable()  # tables of millions of small objects and no cycles
         channel = Channel(*shared.value)
         for b in batches:
-            rows = []
+            rows, seen = [], {}  # an answer given twice is read once
             for what, row, text, corrected in zip(*(b.column(i).to_pylist() for i in range(4))):
-                rows += make(*FIELDS[what], row, *channel.repair(text, corrected, join))
+                if what == 0:
+                    got = channel.repair(text, corrected, join)
+                elif (got := seen.get(text)) is None:
+                    got = seen[text] = channel.repair(text, None, join)
+                rows += make(*FIELDS[what], row, *got)
             names = schema_names
             cols = list(map(list, zip(*rows))) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
