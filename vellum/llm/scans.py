@@ -53,9 +53,14 @@ _MARKS = ".,;:!?…)”’»\"-¬= "
 _BARE_LETTERS = LetterModel({})
 
 
+def mends(text: str) -> bool:
+    """Whether ``plain`` could change the text."""
+    return not text.isascii() and _MENDS.search(text) is not None
+
+
 def plain(text: str) -> str:
     """The text without what problem 5 mends, so that only errors of the scan are left."""
-    if text.isascii() or not _MENDS.search(text):
+    if not mends(text):
         return text
     text = text.translate(_STROKED)
     # soft hyphens at a line's end are marks of broken words and stay
