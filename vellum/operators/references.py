@@ -44,14 +44,17 @@ def dangling(references: DataFrame, parents: DataFrame, removals: DataFrame) ->
     them are broadcast whatever the data's size. Repeated reference rows are kept as often as they are given.
     """
     refs = references.where(F.col("key").isNotNull())
-    sizes = refs.groupBy("kind", "scope", "key").agg(F.count("*").alias("n"))
-    total = sizes.agg((F.sum("n") / HOT_SHARE).alias("least"))
-    hot = sizes.join(F.broadcast(total), F.col("n") > F.col("least")).select("kind", "scope", "key", F.lit(SALTS).alias("salts"))
     match = ["kind", "scope", "key"]
     known = validity(parents, removals)
-    salted = refs.join(F.broadcast(hot), on=match, how="left")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("salt_by"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    known = known.join(F.broadcast(hot), on=match, how="left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    least = refs.count() / HOT_SHARE
+    hot = refs.groupBy(*match).agg(F.count("*").alias("n")).where(F.col("n") > least).select(*match).collect()  # fewer than HOT_SHARE rows
+    if hot and least >= 1:
+        hot = refs.sparkSession.createDataFrame([(*h, SALTS) for h in hot], ", ".join(f"{c} string" for c in match) + ", salts int")
+        salted = refs.join(F.broadcast(hot), on=match, how="left")
+        salted = salted.withColumn("salt", F.pmod(F.xxhash64("salt_by"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        known = known.join(F.broadcast(hot), on=match, how="left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    else:
+        salted, known = refs.withColumn("salt", F.lit(0)), known.withColumn("salt", F.lit(0))
     merged = salted.hint("merge").join(known, on=[*match, "salt"], how="left")
     gone = F.col("gone").isNotNull() & (F.col("last").isNull() | (F.col("last") < F.col("gone")))
     reason = F.when(gone, "deleted").when(F.col("born").isNull(), "missing").when(F.col("born") > F.col("at"), "later")
