@@ -223,6 +223,7 @@ def segments(documents: DataFrame) -> DataFrame:
     language, else from 1 in text order. Null, empty and blank texts and texts without words give no row. Whole texts are
     read. The model is one counting pass; the rest is one narrow pass over sentences that SQL has cut, and a join with the
     priors of sources, a small table by (source, doc_type) that is joined on both."""
+    documents = documents.select("doc_id", "text", "lang", "source", "doc_type")  # other columns may have any name
     shared = fit(documents)
     p = priors(documents)
     x = documents.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_t", F.coalesce("doc_type", F.lit("")))

@@ -11,7 +11,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +49,7 @@ _FOLIO = re.compile(rf"\s*(?:第[{NUMERALS}]+[葉頁張]|[{NUMERALS}]+[上下])\
 _VOLUME = re.compile(rf"(?:\d+\s{{2,}})?[{_HAN}]{{2,8}}卷[{NUMERALS}上中下]+(?:\s{{2,}}\d+)?\s*")
 _VOLUME_VI = re.compile(r"(?:\d+\s{2,})?[^\W\d_][^.!?…:;\d]{4,48},\s*tập\s+\d+(?:\s{2,}\d+)?\s*", re.I)
 _OWN_NUMBER = re.compile(r"^\s*\d+\s{2,}|\s{2,}\d+\s*$")
+_HYPHENS = frozenset(HYPHENS)
 _MARKS = ".,;:!?…)”’»\"-¬= "
 _BARE_LETTERS = LetterModel({})
 
@@ -86,7 +87,8 @@ _NORM = _Norm()
 
 def tokens(line: str) -> list[str]:
     """Han characters, words in lower case, 0 for numbers, and : or . for runs of marks."""
-    return list(map(_NORM.__getitem__, _TOKEN.findall(line.lower())))
+    found = _TOKEN.findall(line.lower())
+    return list(itemgetter(*found)(_NORM)) if len(found) > 1 else [_NORM[t] for t in found]
 
 
 def shape(line: str) -> str:
@@ -258,13 +260,14 @@ class Channel:
         """(whether signs show an error, the line without them, whether it ends in a broken word, its tokens, the places of pairs that are not
         safe)."""
         wrong = False
-        if _ADDED_RE.search(line) or "!" in line and _IN_WORD.search(line):
+        if "|" in line or "^" in line or "~" in line or "#" in line or "!" in line and _IN_WORD.search(line):
             wrong = True
             line = _IN_WORD_I.sub(lambda m: (m[1] or "") + "i", _ADDED_RE.sub("", line))
         if "!" in line and (mended := self.points(line)) != line:
             wrong, line = True, mended
-        broken = bool(_BROKEN.search(line))
-        ts, known, safe = tokens(line.rstrip()[:-1] if broken else line), self.safe_pairs, self.safe
+        end = line.rstrip()
+        broken = end[-1:] in _HYPHENS and bool(_BROKEN.search(end[-3:]))
+        ts, known, safe = tokens(end[:-1] if broken else line), self.safe_pairs, self.safe
         return wrong, line, broken, ts, [i for i, p in enumerate(zip(ts, ts[1:])) if not (known[p] if p in known else safe(*p))]
 
     def scan(self, line: str) -> tuple[bool, str, bool, list[str], list[int]]:
