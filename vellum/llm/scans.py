@@ -312,11 +312,15 @@ class Channel:
 
     def viterbi(self, span: tuple[str, ...]) -> tuple[str, ...]:
         """The best words in place of the inner tokens of a span, between its two outer ones."""
-        paths, before = {span[0]: (0.0, ())}, span[0]
-        for t in span[1:-1]:
-            now = {}
-            for v, p in ((t, 0.0), *self.candidates(t).items()):
-                now[v] = max((s + p + (self.step_read(a, v) if v == t and a == before else self.step(a, v)), (*path, v)) for a, (s, path) in paths.items())
+        paths, before, pairs, common = {span[0]: (0.0, ())}, span[0], self.pairs, self.common
+        for t, after in zip(span[1:-1], span[2:]):
+            # a candidate that was never seen beside either neighbour cannot win, unless a neighbour is itself in doubt
+            doubt = before not in common and before.isalpha() or after not in common and after.isalpha()
+            own = self.step_read(before, t) if before in paths else None
+            now = {t: max((s + (own if a == before else self.step(a, t)), (*path, t)) for a, (s, path) in paths.items())}
+            for v, p in self.candidates(t).items():
+                if doubt or (before, v) in pairs or (v, after) in pairs:
+                    now[v] = max((s + p + self.step(a, v), (*path, v)) for a, (s, path) in paths.items())
             paths, before = now, t
         return max((s + (self.step_read(a, span[-1]) if a == before else self.step(a, span[-1])), path) for a, (s, path) in paths.items())[1]
 
