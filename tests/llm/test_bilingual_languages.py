@@ -48,6 +48,36 @@ def test_records(spark):
     assert right / len(got) > 0.93 and right / len(truth) > 0.93
 
 
+def long_tailed(seed=11, docs=2400, tail=220):
+    """Records of two units, in half of them one of words that 0.3 % to 1 % of the records have; and the pairs, all and of such units."""
+    rnd = random.Random(seed)
+    syllable = lambda k: "".join((rnd_c[k % 20], rnd_v[k // 20 % 12], rnd_e[k // 240]))
+    rnd_c, rnd_v, rnd_e = "b c d đ g h kh l m n ng nh ph r s t th tr v x".split(), "a ă â e ê i o ô ơ u ư y".split(), ["", "n", "m", "t"]
+    word = lambda k: (chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k), f"{syllable(2 * k)} {syllable(2 * k + 1)}")
+    rows, truth, rare = [], set(), set()
+    for i in range(docs):
+        units = [[rnd.randrange(40) for _ in range(3)], [40 + rnd.randrange(tail) for _ in range(3)] if i % 2 else [rnd.randrange(40) for _ in range(3)]]
+        han = "".join("".join(word(k)[0] for k in u) + "。" for u in units)
+        order = [1, 0] if rnd.random() < 0.5 else [0, 1]
+        meaning, ends = "", {}
+        for u in order:
+            meaning += (" " if meaning else "") + " ".join(word(k)[1] for k in units[u]).capitalize() + "."
+            ends[u] = len(meaning) - 1
+        rows.append((i, han, meaning))
+        pairs = [(i, 7 * u + 6, ends[u]) for u in (0, 1)]
+        truth |= set(pairs)
+        if i % 2:
+            rare.add(pairs[1])
+    return rows, truth, rare
+
+
+def test_units_of_rare_words(spark):
+    rows, truth, rare = long_tailed()
+    df = spark.createDataFrame(rows, "row_id long, han string, meaning string")
+    got = {(r.row_id, r.han_end, r.other_end) for r in B.record_pairs(df).collect()}
+    assert len(got & rare) / len(rare) > 0.9 and len(got & truth) / len(got) > 0.9 and len(got & truth) / len(truth) > 0.9
+
+
 def test_columns(spark):
     rnd, rows, truth, i = random.Random(7), [], set(), 0
     sound = {c: f"{chr(97 + k % 26)}{chr(97 + k // 26)}o" for k, c in enumerate(sorted({c for d in (AGENT, VERB, THING) for w in d for c in w}))}

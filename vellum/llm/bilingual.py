@@ -24,10 +24,10 @@ from vellum.tables import written
 
 #: A term is kept if it is in this share of the documents that have both sides. A document of n terms has at most n of them, so
 #: at most n / TERM_SHARE terms are kept, n the mean number of terms of a document.
-TERM_SHARE = 0.01
+TERM_SHARE = 0.003
 #: Dimensions of the vectors; cosine from which a term renders another; least characters and words of a pair's own, unless they are
 #: most of a unit.
-RANK, RENDERS, OWN, MOST = 300, 0.7, 3, 0.6
+RANK, RENDERS, OWN, MOST = 300, 0.55, 3, 0.6
 #: Columns a page can have; a longer one is cut into blocks of so many, half of each shared with the next.
 PAGE_COLUMNS = 512
 
