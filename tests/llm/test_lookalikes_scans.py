@@ -82,6 +82,28 @@ def test_held_out_noise(spark):
     assert hit >= 190
 
 
+@pytest.mark.parametrize("share", [1e-3, 0.02])
+def test_rare_pairs_count(spark, monkeypatch, share):
+    """Pairs and tokens under the share of what is broadcast have their whole counts, by broadcast where there are few, else from a file."""
+    clean, rec = corpus(spark)
+    rare = [f"{w} {x} làng" for w, x in zip(WORDS, ("hiếm", "lạ", "hiếm", "hiếm", "nhỏ"))]
+    rec = rec.unionByName(spark.createDataFrame([(1000 + i, None, None, t) for i, t in enumerate(rare)], rec.schema))
+    ocr = spark.createDataFrame([(1, "qnan huyện xem xét\nquan hiêm làng\nhiếm làng", None)], "row_id long, text string, error string")
+    pairs, n = {}, {}
+    for t in (*clean, *rare, *(r.han for r in rec.where("han is not null").collect()), "qnan huyện xem xét\nquan hiêm làng\nhiếm làng"):
+        ts = S.tokens(t)
+        for a, b in zip([".", *ts], [*ts, "."]):
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+            n[b] = n.get(b, 0) + 1
+    want = {tuple(r) for r in S.noise(rec, ocr).collect()}
+    monkeypatch.setattr(S, "PAIR_SHARE", share)
+    channel = S.Channel(*S.fit(rec, ocr).value)
+    assert {p: channel.pairs.get(p, 0) for p in pairs} == pairs and {w: channel.n.get(w, 0) for w in n} == n
+    assert channel.total == sum(n.values()) and channel.common == {w for w, k in n.items() if k >= 3 and w.isalpha()}
+    assert channel.pairs.get(("làng", "quan"), 0) == 0 and ("làng", "quan") not in channel.pairs and ("quan", "hiếm") in channel.pairs
+    assert {tuple(r) for r in S.noise(rec, ocr).collect()} == want
+
+
 def test_empty(spark):
     rec = spark.createDataFrame([], "row_id long, han string, han_raw string, meaning string")
     none = spark.createDataFrame([], "row_id long, text string, error string")

@@ -6,14 +6,22 @@ read and by n-gram counts of the whole corpus, and decoded by Viterbi.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import math
+import os
 import re
+import shutil
+import tempfile
 import unicodedata
+import uuid
 from collections import Counter
+from hashlib import blake2b
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +33,11 @@ CONFUSED = (("n", "u"), ("u", "n"), ("h", "b"), ("b", "h"), ("t", "f"), ("c", "e
 ADDED = "|^~#"
 HYPHENS = "-¬=­‐"
 NUMERALS = "〇零一二三四五六七八九十百千"
-#: Shares of the corpus that bound what is broadcast: a pair of words or a header shape is kept if it makes up at least this share of all,
-#: so that at most 1 / share of them are kept, whatever the corpus.
+#: Shares of the corpus that bound what is broadcast: a pair of words, a token or a header shape is broadcast if it makes up at least this
+#: share of all, so that at most 1 / share of them are, whatever the corpus. Rarer pairs and tokens are looked up in a file.
 PAIR_SHARE, SHAPE_SHARE, LEAST_SHAPES, AT_EDGE = 1e-6, 2e-4, 5, 0.4
+#: Share of all tokens from which a word can be a candidate; share of the numbers from which the next word is a unit of measure.
+COMMON, UNIT = 2e-5, 0.004
 #: Log probabilities that a known error, another accent and any other one-character error turned a word into what was read.
 KNOWN, MARK, OTHER = math.log(0.08), math.log(0.06), math.log(0.0004)
 #: Weight of a word's own frequency where a pair was not seen.
@@ -147,21 +157,73 @@ def furniture_han(line: str) -> bool:
     return bool(_FOLIO.fullmatch(line) or _VOLUME.fullmatch(line) or _DECORATED.fullmatch(line) or _BARE.fullmatch(line))
 
 
+def _key(a: str, b: str) -> int:
+    """A pair as a number of 63 bits; b is empty for a token."""
+    return int.from_bytes(blake2b(f"{a}\0{b}".encode(), digest_size=8).digest(), "big") >> 1
+
+
+class Counts(dict):
+    """Counts of which the rare ones lie in a file, in the order of their keys; the file is mapped and not read into memory."""
+
+    def __init__(self, often: dict, rare: tuple[np.ndarray, np.ndarray]):
+        super().__init__(often)
+        self.keys_, self.n = rare
+
+    def __missing__(self, x: str | tuple[str, str]) -> int:
+        key = _key(*x) if isinstance(x, tuple) else _key(x, "")
+        at = int(np.searchsorted(self.keys_, key))
+        return int(self.n[at]) if at < len(self.keys_) and self.keys_[at] == key else 0
+
+    def get(self, x, default=0):
+        return self[x] or default
+
+    def __contains__(self, x) -> bool:
+        return self[x] > 0
+
+
+def rare_file(rare: DataFrame) -> str:
+    """Sends (a, b, n) to all executors as two files of numbers, keys in order and counts, and returns their name. The driver passes on one
+    batch at a time."""
+
+    def key(batches):
+        for x in batches:
+            keys = [_key(a, b) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), x.column(2)], ["key", "n"])
+
+    def pack(batches):
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.column(i).to_numpy().astype("<i8").tobytes()], pa.binary()) for i in (0, 1)], ["key", "n"])
+
+    name = os.path.join(tempfile.mkdtemp(), f"rare-{uuid.uuid4().hex}")
+    packed = rare.select("a", "b", "n").mapInArrow(key, "key long, n long").orderBy("key").mapInArrow(pack, "key binary, n binary")
+    with open(name + ".key", "wb") as keys, open(name + ".n", "wb") as numbers:
+        for r in packed.toLocalIterator():
+            keys.write(r.key)
+            numbers.write(r.n)
+    for end in (".key", ".n"):
+        rare.sparkSession.sparkContext.addFile(name + end)
+    atexit.register(shutil.rmtree, os.path.dirname(name), True)  # executors fetch it from there
+    return os.path.basename(name)
+
+
 class Channel:
-    """Candidates, scores and repair of lines, from the counts of a corpus."""
-
-    def __init__(self, pairs: dict[tuple[str, str], int], confused: dict[tuple[str, str], int], headers: list[str]):
-        self.pairs = pairs
-        self.n: Counter = Counter()
-        for (a, b), k in pairs.items():
-            self.n[b] += k
-        self.units = {b for (a, b), k in pairs.items() if a == "0" and k > 0.004 * self.n["0"] and b.isalpha()}
+    """Candidates, scores and repair of lines, from the counts of a corpus.
+
+    ``total``: of all tokens. ``rare``: the name of the file of pairs and tokens that are not in ``pairs`` and ``n``, if any.
+    """
+
+    def __init__(self, pairs: dict[tuple[str, str], int], n: dict[str, int], total: int, confused: dict[tuple[str, str], int], headers: list[str], rare: str | None = None):
+        self.pairs, self.n = pairs, Counter(n)
+        if rare:
+            file = tuple(np.memmap(SparkFiles.get(rare + end), "<i8", "r") for end in (".key", ".n"))
+            self.pairs, self.n = Counts(pairs, file), Counts(n, file)
+        self.units = {b for (a, b), k in pairs.items() if a == "0" and k > UNIT * self.n["0"] and b.isalpha()}
         self.headers = set(headers)
         self.near_headers: set[str] = set()
         for h in headers:
             self.near_headers |= {h[:i] + "*" + h[i + 1 :] for i in range(len(h))} | {h[:i] + h[i + 1 :] for i in range(len(h))}
-        total = self.total = sum(self.n.values())
-        self.common = {w for w, k in self.n.items() if k >= max(3, 2e-5 * total) and w.isalpha()}
+        self.total = total
+        self.common = {w for w, k in self.n.items() if k >= max(3, COMMON * total) and w.isalpha()}
         self.index: dict[str, list[str]] = {}
         for w in self.common:
             if len(w) > 1 or not _HAN_RE.match(w):
@@ -474,25 +536,33 @@ def texts(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
 
 
 def fit(records: DataFrame, ocr_results: DataFrame):
-    """The channel's counts over all rows, as a broadcast: at most 1 / PAIR_SHARE pairs and 2 / SHAPE_SHARE header shapes."""
+    """The channel's counts over all rows, as a broadcast: at most 1 / PAIR_SHARE pairs and tokens each, the confusions of Han
+    characters, and 2 / SHAPE_SHARE header shapes. Where there are more pairs or tokens, those under PAIR_SHARE go to a file."""
     ok = F.coalesce(F.regexp_replace("error", r"[\s\x{A0}\x{3000}]+", ""), F.lit("")) == ""
     rows = records.select("han", F.col("meaning").alias("shown"), F.when(F.col("han_raw") != F.col("han"), F.col("han_raw")).alias("read")).unionByName(ocr_results.where(ok).select(F.lit(None).cast("string").alias("han"), F.col("text").alias("shown"), F.lit(None).cast("string").alias("read")))
     from vellum.tables import written
 
     counted = written(count(rows), "scan-counts")
-    all_ = {r[0]: r[1] for r in counted.groupBy("kind").agg(F.sum("n")).collect()}
+    # every token follows one other
+    counted = counted.unionByName(counted.where("kind = 'p'").groupBy("b").agg(F.sum("n").alias("n")).select(F.lit("w").alias("kind"), F.col("b").alias("a"), F.lit("").alias("b"), "n"))
+    sums = counted.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()
+    all_ = {r[0]: r[1] for r in sums}
     least = lambda kind, share: max(1.0, all_.get(kind, 0) * share)
-    some = counted.where(
-        ((F.col("kind") == "p") & (F.col("n") >= least("p", PAIR_SHARE)))
-        | ((F.col("kind") == "c") & (F.col("n") >= least("c", PAIR_SHARE)))
-        | (F.col("kind").isin("e", "a") & (F.col("n") >= max(LEAST_SHAPES, AT_EDGE * least("t", SHAPE_SHARE))))
-    ).collect()
+    whole = all(r[2] <= 1 / PAIR_SHARE for r in sums if r[0] in "pw")
+    word = F.col("kind").isin("p", "w")
+    often = F.lit(True)
+    if not whole:  # as many tokens as pairs; what the channel picks from all of them is never rare
+        numbers = counted.where("kind = 'w' and a = '0'").agg(F.sum("n")).collect()[0][0] or 0
+        often = (F.col("n") >= least("p", PAIR_SHARE)) | ((F.col("kind") == "w") & (F.col("n") >= max(3, COMMON * all_["p"]))) | ((F.col("kind") == "p") & (F.col("a") == "0") & (F.col("n") > UNIT * numbers))
+    some = counted.where((word & often) | (F.col("kind") == "c") | (F.col("kind").isin("e", "a") & (F.col("n") >= max(LEAST_SHAPES, AT_EDGE * least("t", SHAPE_SHARE))))).collect()
+    rare = None if whole else rare_file(counted.where(word & ~often))
     pairs = {(r.a, r.b): r.n for r in some if r.kind == "p"}
+    words = {r.a: r.n for r in some if r.kind == "w"}
     confused = {(r.a, r.b): r.n for r in some if r.kind == "c"}
     anywhere = {r.a: r.n for r in some if r.kind == "a"}
     need = max(LEAST_SHAPES, all_.get("t", 0) * SHAPE_SHARE)
     headers = [r.a for r in some if r.kind == "e" and r.n >= need and r.n >= AT_EDGE * anywhere.get(r.a, 0)]
-    return records.sparkSession.sparkContext.broadcast((pairs, confused, headers))
+    return records.sparkSession.sparkContext.broadcast((pairs, words, all_.get("p", 0), confused, headers, rare))
 
 
 FIELDS = (("records", "han_raw"), ("records", "meaning"), ("ocr_results", "text"))
