@@ -105,6 +105,46 @@ def test_columns(spark):
     assert len(got & truth) / len(got) > 0.95 and len(got & truth) / len(truth) > 0.95
 
 
+ALIGNED = "row_id long, sentence_id string, column_no int, sn_chars array<string>, qn_words array<string>"
+
+
+def test_long_page(spark, monkeypatch):
+    """A page of 700 columns, the reading of each 600 places on, some of two columns in one; the same pairs as of the page in one step."""
+    rnd, rows, truth = random.Random(5), [], set()
+    text = lambda: [rnd.randrange(300) for _ in range(8)]
+    han, read = (lambda t: [chr(0x4E00 + k) for k in t]), (lambda t: [f"{chr(97 + k % 25)}{chr(97 + k // 25)}o" for k in t])
+    for i in range(1500):
+        t = text()
+        rows.append((i, f"X_001.001.{i // 5:03d}.{i % 5:02d}", i % 5, han(t), read(t)))
+        truth.add((i, i))
+    texts, words = [text() for _ in range(700)], [[] for _ in range(700)]
+    for k, t in enumerate(texts):
+        to = (k + 600 - (k % 7 == 1)) % 700
+        words[to] += read(t)
+        truth.add((5000 + k, 5000 + to))
+    rows += [(5000 + k, f"X_001.002.001.{k:03d}", None, han(t), words[k] or None) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ALIGNED)
+    got = {(r.row_id, r.other_row_id) for r in B.column_pairs(df).collect()}
+    assert len(got & truth) / len(got) > 0.95 and len(got & truth) / len(truth) > 0.95
+    far = {p for p in truth if p[0] >= 5000}
+    assert len(got & far) / len(far) > 0.95
+    monkeypatch.setattr(B, "PAGE_COLUMNS", 10_000)
+    assert {(r.row_id, r.other_row_id) for r in B.column_pairs(df).collect()} == got
+
+
+def test_tiles_decide_as_one_step(spark, monkeypatch):
+    rnd, rows = random.Random(8), []
+    for i in range(600):
+        t = sentence(rnd)[0] + sentence(rnd)[0][: rnd.randrange(1, 6)]
+        rows.append((i, f"X_001.001.{i // 12:03d}.{i % 12:02d}", i % 12, list(t), [f"w{ord(c)}" for c in (t if rnd.random() < 0.7 else t[::-1])] if i % 9 else None))
+    df = spark.createDataFrame(rows, ALIGNED)
+    got = []
+    for n in (512, 4):
+        monkeypatch.setattr(B, "PAGE_COLUMNS", n)
+        got.append(sorted((r.row_id, r.other_row_id) for r in B.column_pairs(df).collect()))
+    assert got[0] == got[1] and len(got[0]) > 500
+
+
 def test_empty_alignment(spark):
     rec = spark.createDataFrame([], "row_id long, han string, meaning string")
     al = spark.createDataFrame([], "row_id long, sentence_id string, column_no int, sn_chars array<string>, qn_words array<string>")

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.scans import mends, plain
@@ -28,7 +28,7 @@ TERM_SHARE = 0.003
 #: Dimensions of the vectors; cosine from which a term renders another; least characters and words of a pair's own, unless they are
 #: most of a unit.
 RANK, RENDERS, OWN, MOST = 300, 0.55, 3, 0.6
-#: Columns a page can have; a longer one is cut into blocks of so many, half of each shared with the next.
+#: Columns of a page that are aligned in one step; of a longer page, every half of so many columns meets every other.
 PAGE_COLUMNS = 512
 
 _HAN = "㐀-鿿豈-﫿\U00020000-\U0003ffff"
@@ -286,17 +286,42 @@ class Aligner:
         out[side.starts] = none
         return out
 
+    @staticmethod
+    def _sums(a: Side, o: Side, on_a: np.ndarray, on_o: np.ndarray, first: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens of either unit of each pair are covered."""
+        seg = o.sizes[v]
+        co = np.add.reduceat(on_o, np.cumsum(seg) - seg, dtype=np.int64)
+        turned = np.argsort(first[doc] + j * a.doc_units[doc] + i, kind="stable")  # by unit of b
+        seg = a.sizes[u[turned]]
+        ch = np.empty(len(doc), np.int64)
+        ch[turned] = np.add.reduceat(on_a, np.cumsum(seg) - seg, dtype=np.int64)
+        return ch, co
+
+    def _both(self, a: Side, o: Side):
+        """What units of a cover in b and of b in a, and where each document's part starts."""
+        a1, a2 = a.ids(self.left, a.tokens), a.ids(self.left, a.pairs)
+        o1, o2 = o.ids(self.right, o.tokens), o.ids(self.right, o.pairs)
+        a0, o0 = self._with_before(a, a2, len(self.left)), self._with_before(o, o2, len(self.right))
+        return *self._covered(a, self.rows, (a1, a2), o, (o1, o2, o0)), *self._covered(o, self.columns, (o1, o2), a, (a1, a2, a0))
+
+    def tile(self, b: pa.RecordBatch):
+        """Of one document with units on both sides: (covered characters and words of each pair of units, tokens of a covered by each unit
+        of b, tokens of b covered by each unit of a, lengths of the units)."""
+        a, o = _sides(b)
+        on_o, _, on_a, _ = self._both(a, o)
+        shape = (len(a.sizes), len(o.sizes))
+        i, j = (x.ravel() for x in np.indices(shape))
+        none = np.zeros(len(i), np.int64)
+        ch, co = self._sums(a, o, on_a, on_o, none[:1], none, i, j, i, j)
+        return ch.reshape(shape), co.reshape(shape), on_a.reshape(shape[1], -1), on_o.reshape(shape[0], -1), a.sizes, o.sizes
+
     def pairs(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, unit of a, unit of b), the units as places in the batch, for units of which one renders the other wholly or in part."""
         a, o = _sides(b)
         none = np.zeros(0, np.int64)
         if not len(a.tokens) or not len(o.tokens):
             return none, none, none
-        a1, a2 = a.ids(self.left, a.tokens), a.ids(self.left, a.pairs)
-        o1, o2 = o.ids(self.right, o.tokens), o.ids(self.right, o.pairs)
-        a0, o0 = self._with_before(a, a2, len(self.left)), self._with_before(o, o2, len(self.right))
-        on_o, o_at = self._covered(a, self.rows, (a1, a2), o, (o1, o2, o0))
-        on_a, a_at = self._covered(o, self.columns, (o1, o2), a, (a1, a2, a0))
+        on_o, o_at, on_a, a_at = self._both(a, o)
         # every pair of units of a document: n of them from place ``first``, by unit of a
         n = a.doc_units * o.doc_units
         first = np.cumsum(n) - n
@@ -306,14 +331,9 @@ class Aligner:
         u, v = a.unit_at[doc] + i, o.unit_at[doc] + j
         if not len(doc):
             return none, none, none
-        seg = o.sizes[v]
-        co = np.add.reduceat(on_o, np.cumsum(seg) - seg, dtype=np.int64)
-        turned = np.argsort(first[doc] + j * a.doc_units[doc] + i, kind="stable")  # by unit of b
-        seg = a.sizes[u[turned]]
-        ch = np.empty(len(doc), np.int64)
-        ch[turned] = np.add.reduceat(on_a, np.cumsum(seg) - seg, dtype=np.int64)
+        ch, co = self._sums(a, o, on_a, on_o, first, doc, i, j, u, v)
         la = a.sizes[u]
-        good = (ch >= 2) & (co >= 2) & (((ch >= OWN) & (co >= OWN)) | (ch >= MOST * la) | (co >= MOST * o.sizes[v]))
+        good = _enough(ch, co, la, o.sizes[v])
         single = n[doc] == 1
         good = np.where(single, (ch >= np.maximum(2, 0.25 * la)) | (ch >= la), good)
         # documents in which no unit has two partners need no search
@@ -333,6 +353,11 @@ class Aligner:
         return doc[good], u[good], v[good]
 
 
+def _enough(ch: np.ndarray, co: np.ndarray, la: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Whether so many characters and words make a pair of units of these lengths."""
+    return (ch >= 2) & (co >= 2) & (((ch >= OWN) & (co >= OWN)) | (ch >= MOST * la) | (co >= MOST * lo))
+
+
 def _search(ch: np.ndarray, co: np.ndarray, on_a: np.ndarray, on_o: np.ndarray, la: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Which pairs of one document's units hold: by margin over each unit's nearest neighbours, best first; a pair needs characters and words
     of its own, that is such as no pair before it has covered, so that windows grow where units were merged or divided, in any order."""
@@ -411,37 +436,122 @@ def record_pairs(records: DataFrame) -> DataFrame:
     return found.select(F.lit("records").alias("table_name"), F.col("doc").alias("row_id"), F.col("a_tag").cast("int").alias("han_end"), F.col("doc").alias("other_row_id"), F.col("b_tag").cast("int").alias("other_end"))
 
 
+def _joined(name: str):
+    """A packed column of all members of ``c``, one after the other."""
+    return F.aggregate(F.col(f"c.{name}"), F.lit(b""), lambda x, y: F.concat(x, y)).alias(name)
+
+
+def long_pages(columns: DataFrame, shared) -> DataFrame:
+    """(a_tag, b_tag) of the pairs of columns of pages of more than PAGE_COLUMNS; ``columns`` are coded, with their page's ``n``.
+
+    Blocks of columns of either side meet each other block of the other side in a tile of bounded size, so every column meets
+    every other and a page is spread over all tasks. A tile yields the pairs that could hold with what they cover, and each
+    column's two nearest neighbours; the latter make the margins of the whole page. One task then decides a page's pairs, best
+    first, as ``_search`` does; they stream through it in order, and it keeps a number for each column that has a pair. The
+    work grows with the square of a page's columns.
+    """
+    spark = columns.sparkSession
+    x = columns.withColumn("blocks", F.ceil(F.col("n") / max(1, PAGE_COLUMNS // 2))).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+
+    def side(k: str) -> DataFrame:
+        names = [k, f"{k}_len", f"{k}_tag"]
+        c = x.where(F.length(k) > 0).groupBy("page", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("doc", *names))).alias("c"))
+        return c.select("page", "blocks", F.col("block").alias(f"{k}_block"), *map(_joined, names))
+
+    tiles = side("a").withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(side("b").drop("blocks"), ["page", "b_block"])
+    tiles = tiles.repartition(4 * spark.sparkContext.defaultParallelism, "page", "a_block", "b_block").select("page", "a", "a_len", "a_tag", "b", "b_len", "b_tag")
+    bits = lambda m: np.packbits(m, bitorder="little").tobytes()
+
+    def run(batches):
+        aligner = Aligner(*shared.value)
+        for b in batches:
+            for at in range(b.num_rows):
+                part = b.slice(at, 1)
+                page = part.column(0)[0].as_py()
+                ch, co, on_a, on_o, la, lo = aligner.tile(part)
+                ta, to = (_unpacked(part.column(k), "<i8")[0] for k in (3, 6))
+                dice = (ch + co) / (la[:, None] + lo[None])
+                i, j = np.nonzero(_enough(ch, co, la[:, None], lo[None]))
+                ua, uo = np.cumsum(la) - la, np.cumsum(lo) - lo
+                masks = [bits(on_a[q, ua[p] : ua[p] + la[p]]) for p, q in zip(i, j)], [bits(on_o[p, uo[q] : uo[q] + lo[q]]) for p, q in zip(i, j)]
+                none = [None] * len(i)
+                yield _found_in_tile(page, "c", ta[i], to[j], dice[i, j], none, la[i], lo[j], *masks)
+                for kind, tags, d in (("a", ta, dice), ("b", to, dice.T)):
+                    d = np.sort(d, axis=1)
+                    none = [None] * len(tags)
+                    yield _found_in_tile(page, kind, tags, tags, d[:, -1], d[:, -2] if d.shape[1] > 1 else none, none, none, none, none)
+
+    met = written(tiles.mapInArrow(run, TILE), "tiles")
+
+    def near(kind: str) -> DataFrame:  # mean of the two nearest neighbours on the page
+        two = F.slice(F.sort_array(F.filter(F.flatten(F.collect_list(F.array("dice", "second"))), lambda d: d.isNotNull()), asc=False), 1, 2)
+        mean = F.aggregate("two", F.lit(0.0), lambda s, d: s + d) / F.size("two")
+        return met.where(F.col("kind") == kind).groupBy("page", F.col(f"{kind}_tag")).agg(two.alias("two")).select("page", f"{kind}_tag", mean.alias(f"near_{kind}"))
+
+    c = met.where("kind = 'c'").join(near("a"), ["page", "a_tag"]).join(near("b"), ["page", "b_tag"])
+    c = c.withColumn("score", F.col("dice") * F.lit(2.0) * F.col("dice") / (F.col("near_a") + F.col("near_b") + F.lit(1e-6)))
+    c = c.repartition("page").sortWithinPartitions("page", F.desc("score"), "a_tag", "b_tag").select("page", "a_tag", "b_tag", "la", "lo", "on_a", "on_b")
+
+    def decide(batches):
+        now, free_a, free_b = None, {}, {}
+        for b in batches:
+            out = []
+            for page, i, j, la, lo, ma, mb in zip(*(b.column(k).to_pylist() for k in range(7))):
+                if page != now:
+                    now, free_a, free_b = page, {}, {}
+                ma, mb = int.from_bytes(ma, "little"), int.from_bytes(mb, "little")
+                fa, fb = free_a.get(i, -1), free_b.get(j, -1)
+                ga, gb = (ma & fa).bit_count(), (mb & fb).bit_count()
+                if (ga >= OWN and gb >= OWN) or (ga >= MOST * la and gb >= 2) or (gb >= MOST * lo and ga >= 2):
+                    out.append((i, j))
+                    free_a[i], free_b[j] = fa & ~ma, fb & ~mb
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a_tag", "b_tag"])
+
+    return c.mapInArrow(decide, "a_tag long, b_tag long")
+
+
+#: What a tile yields: pairs of columns (c), and the two nearest neighbours of a column of either side (a, b).
+TILE = "page string, kind string, a_tag long, b_tag long, dice double, second double, la int, lo int, on_a binary, on_b binary"
+
+
+def _found_in_tile(page: str, kind: str, *columns) -> pa.RecordBatch:
+    n = len(columns[0])
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([page] * n, pa.string()), pa.array([kind] * n, pa.string()), *map(pa.array, columns, types)], [x.split()[0] for x in TILE.split(", ")])
+
+
 def column_pairs(aligned: DataFrame) -> DataFrame:
     """The same of aligned_sentences: columns of a page whose sn_chars are read in qn_words, also their own; ends are -1.
 
-    A page is sentence_id without its last part. The columns of a page are aligned together; a page holds as many columns as
-    paper has room for, and one that claims more than PAGE_COLUMNS is cut into overlapping blocks in the order of its
-    columns, so no task gathers an unbounded group. Null and empty sides pair with nothing.
+    A page is sentence_id without its last part. The columns of a page are aligned together, up to PAGE_COLUMNS by one task and
+    beyond it by ``long_pages``, with the same result. Null and empty sides pair with nothing.
     """
     clean = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x, F.lit(""))), " ")
-    rows = aligned.where("row_id is not null and sentence_id is not null").select("row_id", F.regexp_replace("sentence_id", r"\.[^.]*$", "").alias("page"), F.coalesce("column_no", F.lit(0)).alias("column_no"), clean(F.col("sn_chars")).alias("han"), clean(F.col("qn_words")).alias("other")).dropDuplicates(["row_id"])
+    rows = aligned.where("row_id is not null and sentence_id is not null").select("row_id", F.regexp_replace("sentence_id", r"\.[^.]*$", "").alias("page"), clean(F.col("sn_chars")).alias("han"), clean(F.col("qn_words")).alias("other")).dropDuplicates(["row_id"])
 
     def run(batches):
         of = _CODES.__getitem__
         for b in batches:
-            out, pages, places = [], [], []
-            for row, page, place, han, other in zip(*(b.column(i).to_pylist() for i in range(5))):
+            out, pages = [], []
+            for row, page, han, other in zip(*(b.column(i).to_pylist() for i in range(4))):
                 out.append((row, *_code([han_terms(han or "")], [row], ord), *_code([words(other or "")], [row], of)))
                 pages.append(page)
-                places.append(place)
             r = _rows(out)
-            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(pages, pa.string()), pa.array(places, pa.int32())], [*r.schema.names, "page", "column_no"])
+            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(pages, pa.string())], [*r.schema.names, "page"])
 
-    coded = written(rows.select("row_id", "page", "column_no", "han", "other").mapInArrow(run, CODED + ", page string, column_no int"), "coded-columns")
+    coded = written(rows.select("row_id", "page", "han", "other").mapInArrow(run, CODED + ", page string"), "coded-columns")
     shared = fit(coded)
-    half = PAGE_COLUMNS // 2
-    place = F.row_number().over(Window.partitionBy("page").orderBy("column_no", "doc")) - 1
-    x = coded.withColumn("part", F.floor(place / half))
-    x = x.withColumn("block", F.explode(F.when(F.col("part") > 0, F.array(F.col("part") - 1, F.col("part"))).otherwise(F.array("part"))))
+    x = coded.where("length(a) > 0 or length(b) > 0")
+    sizes = x.groupBy("page").agg(F.greatest(F.count_if(F.length("a") > 0), F.count_if(F.length("b") > 0)).alias("n"))
+    long = written(sizes.where(F.col("n") > PAGE_COLUMNS), "long-pages")
+    any_long = not long.isEmpty()
+    short = x.join(long, "page", "left_anti") if any_long else x
     names = [n.split()[0] for n in CODED.split(", ")][1:]
-    pages = x.groupBy("page", "block").agg(F.min("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("doc", *names))).alias("c"))  # PAGE_COLUMNS at most
-    pages = pages.select("doc", *(F.aggregate(F.col(f"c.{n}"), F.lit(b""), lambda x, y: F.concat(x, y)).alias(n) for n in names))
-    found = align(pages, shared)
+    pages = short.groupBy("page").agg(F.min("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("doc", *names))).alias("c"))  # 2 PAGE_COLUMNS at most
+    pages = pages.select("doc", *(_joined(n) for n in names))
+    found = align(pages, shared).select("a_tag", "b_tag")
+    if any_long:
+        found = found.unionByName(long_pages(x.join(long, "page"), shared))
     return found.select(F.lit("aligned_sentences").alias("table_name"), F.col("a_tag").alias("row_id"), F.lit(-1).alias("han_end"), F.col("b_tag").alias("other_row_id"), F.lit(-1).alias("other_end"))
 
 
