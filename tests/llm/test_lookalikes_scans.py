@@ -104,6 +104,15 @@ def test_rare_pairs_count(spark, monkeypatch, share):
     assert {tuple(r) for r in S.noise(rec, ocr).collect()} == want
 
 
+def test_neighbours_misread_into_common_words(spark):
+    """Three words in a row, each misread into another common word, are mended together."""
+    lines = ["đi nan ban can về."] * 300 + [f"kia {w} rồi." for w in ("nau", "bau", "cau")] * 100
+    rec = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(lines)], "row_id long, han string, han_raw string, meaning string")
+    channel = S.Channel(*S.fit(rec, spark.createDataFrame([], "row_id long, text string, error string")).value)
+    assert channel.repair("đi nau bau cau về.") == ([(1, "misread")], "đi nan ban can về.")
+    assert channel.repair("kia bau rồi.")[0] == []
+
+
 def test_empty(spark):
     rec = spark.createDataFrame([], "row_id long, han string, han_raw string, meaning string")
     none = spark.createDataFrame([], "row_id long, text string, error string")

@@ -304,16 +304,31 @@ class Channel:
         return got
 
     def safe(self, a: str, b: str) -> bool:
-        """Whether no candidate in place of a or b could win on this pair."""
+        """Whether no candidate in place of a, of b or of both could win on this pair."""
         got = self.safe_pairs.get((a, b))
         if got is None:
             k = max(self.pairs.get((a, b), 0) - 1, 0) + SMOOTH * (max(self.n.get(b, 0) - 1, 0) + 0.5) / (self.total + 1)
-            got = all(self.weight(a, v) * math.exp(p) * 4 < k for v, p in self.candidates(b).items()) and all(self.weight(v, b) * math.exp(p) * 4 < k for v, p in self.candidates(a).items())
+            got = all(self.weight(a, v) * math.exp(p) * 4 < k for v, p in self.candidates(b).items()) and all(self.weight(v, b) * math.exp(p) * 4 < k for v, p in self.candidates(a).items()) and not self.both(a, b, k / 4)
             if len(self.safe_pairs) > 500_000:
                 self.safe_pairs.clear()
             self.safe_pairs[a, b] = got
         return got
 
+    def both(self, a: str, b: str, k: float) -> bool:
+        """Whether candidates in place of both words reach ``k``. A pair never seen cannot where b's candidate alone does not, and a pair is
+        seen no more often than its words."""
+        there = self.candidates(b)
+        if not there:
+            return False
+        top = math.exp(max(there.values()))
+        for v, p in self.candidates(a).items():
+            p = math.exp(p)
+            if (self.n.get(v, 0) + 1) * p * top >= k:
+                for w, q in there.items():
+                    if self.pairs.get((v, w), 0) and self.weight(v, w) * p * math.exp(q) >= k:
+                        return True
+        return False
+
     def is_safe(self, pair: tuple[str, str]) -> bool:
         got = self.safe_pairs.get(pair)
         return self.safe(*pair) if got is None else got
@@ -374,15 +389,12 @@ class Channel:
 
     def viterbi(self, span: tuple[str, ...]) -> tuple[str, ...]:
         """The best words in place of the inner tokens of a span, between its two outer ones."""
-        paths, before, pairs, common = {span[0]: (0.0, ())}, span[0], self.pairs, self.common
-        for t, after in zip(span[1:-1], span[2:]):
-            # a candidate that was never seen beside either neighbour cannot win, unless a neighbour is itself in doubt
-            doubt = before not in common and before.isalpha() or after not in common and after.isalpha()
+        paths, before = {span[0]: (0.0, ())}, span[0]
+        for t in span[1:-1]:
             own = self.step_read(before, t) if before in paths else None
             now = {t: max((s + (own if a == before else self.step(a, t)), (*path, t)) for a, (s, path) in paths.items())}
             for v, p in self.candidates(t).items():
-                if doubt or (before, v) in pairs or (v, after) in pairs:
-                    now[v] = max((s + p + self.step(a, v), (*path, v)) for a, (s, path) in paths.items())
+                now[v] = max((s + p + self.step(a, v), (*path, v)) for a, (s, path) in paths.items())
             paths, before = now, t
         return max((s + (self.step_read(a, span[-1]) if a == before else self.step(a, span[-1])), path) for a, (s, path) in paths.items())[1]
 
