@@ -1,7 +1,10 @@
 """Survivors against SQL and brute force."""
 
+import math
 import random
 
+import pytest
+
 from vellum.llm import survivors as S
 
 OCR = "row_id long, doc_id string, model_name string, page_no int, text string, confidence double, error string, created_at string, source string"
@@ -75,3 +78,13 @@ def test_truth_discovery_follows_the_reliable(spark):
     models = {r[0]: r[2] for r in rows}
     got = best.where("field = 'text'").collect()
     assert len(got) == 40 and all(models[r.value_from].startswith("good") for r in got)
+
+
+def test_truth_discovery_ends_converged(spark):
+    """Rounds that run out while reliabilities move are an error, and a finished iteration does not move any more."""
+    rows = [(5 * p + k, "d", m, p, f"văn {v}", None, None, None, "x") for p in range(12) for k, (m, v) in enumerate((("a", 0), ("b", p % 2), ("c", p % 3), ("d", p % 5)))]
+    rows = S.answers(spark.createDataFrame(rows, OCR), spark.createDataFrame([], MODELS))
+    with pytest.raises(RuntimeError, match="still move"):
+        S.discover(rows, rounds=1)
+    loose, tight = ({(r.source, r.field): r.weight for r in S.discover(rows, moved=m)[1].collect()} for m in (S.MOVED, 1e-7))
+    assert all(abs(math.exp(-loose[k]) - math.exp(-tight[k])) < 20 * S.MOVED for k in tight)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from vellum.tables import latest_rows, written
 
-#: Iterations end when no source's reliability moves by more than this, or after ROUNDS.
-MOVED, ROUNDS = 1e-4, 20
+#: Iterations end when no source's reliability moves by more than this; it is an error if it still does after ROUNDS.
+MOVED, ROUNDS = 1e-4, 500
 #: So many sources are joined by broadcast; beyond it by a shuffle.
 BROADCAST_SOURCES = 100_000
 FIELDS = ("text", "confidence")
@@ -91,7 +91,8 @@ def discover(rows: DataFrame, rounds: int = ROUNDS, moved: float = MOVED) -> tup
     """Iterative truth discovery: (survivors, weights).
 
     Alternately, a value's support is its share of the votes weighted by source, and a source's reliability is the mean support of its
-    claims, weighted as -log(1 - reliability); it ends when no reliability moves by more than ``moved``. survivors:
+    claims, weighted as -log(1 - reliability); it ends when no reliability moves by more than ``moved``, and
+    raises if one still does after ``rounds``. survivors:
     (group_id, field, value_from, support), the highest-supported value of each field of each group of at least two rows, ties to
     the smallest row_id; groups in which no row supplies a field have no row for it. weights: (source, field, weight).
 
@@ -109,14 +110,16 @@ def discover(rows: DataFrame, rounds: int = ROUNDS, moved: float = MOVED) -> tup
         table = spark.createDataFrame([(s, f, -math.log(1 - min(max(r, 1e-3), 0.999))) for (s, f), r in w.items()], "source string, field string, weight double")
         return F.broadcast(table)  # at most BROADCAST_SOURCES rows, checked above
 
-    for _ in range(rounds if now else 0):
+    change, done = math.inf if now else 0.0, 0
+    while change > moved:
+        if done == rounds:
+            raise RuntimeError(f"reliabilities still move by {change:.2g} after {rounds} rounds")
+        done += 1
         v = votes(c, weights(now)).drop("row_id")
         mean = c.join(v, ["doc", "page_no", "field", "value"]).groupBy("source", "field").agg((F.sum(F.col("n") * F.col("support")) / F.sum("n")).alias("r"))
         new = {(r[0], r[1]): r[2] for r in mean.collect()}
         change = max(abs(new[k] - now[k]) for k in new)
         now = new
-        if change < moved:
-            break
     groups = c.groupBy("doc", "page_no", "field").agg(F.min("group_id").alias("group_id"))
     best = votes(c, weights(now)).groupBy("doc", "page_no", "field").agg(F.max(F.struct(F.round("support", 9).alias("support"), (-F.col("row_id")).alias("row"))).alias("b"))
     out = best.join(groups, ["doc", "page_no", "field"]).select("group_id", "field", (-F.col("b.row")).alias("value_from"), F.round("b.support", 6).alias("support"))
