@@ -6,10 +6,8 @@ matched by margin-scored mutual coverage; windows of merged or divided units gro
 
 from __future__ import annotations
 
-import gc
 import re
-import zlib
-from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm import codes
 from vellum.llm.scans import mends, plain
 from vellum.llm.sentences import ABBREVIATIONS, TITLES, units
 from vellum.tables import written
@@ -40,12 +39,24 @@ _NOTES = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|（[^（）]*）")
 _ANY_QUOTE = re.compile("[“‘«\"「『]")
 _MASK = str.maketrans({c: "\x01" for c in "。．.○？！!?…"})
 _MASK_NOTE = str.maketrans({c: "\x02" for c in "。．.○？！!?…"})
-_DECIMAL = re.compile(r"(?<=\d)\.(?=\d)")
+# a stop comes first in each pattern, so that what is before it is looked at only there
+_DECIMAL = re.compile(r"\.(?<=\d\.)(?=\d)")
 _ABBREVIATED = regex.compile(rf"(?<=(?<!\p{{L}})(?:{ABBREVIATIONS}))\.(?=\s?[\p{{Ll}}0-9(,;:])|(?<=(?<!\p{{L}})(?:{TITLES}))\.(?=\s?\p{{Lu}})|(?<=(?<!\p{{L}})\p{{Lu}})\.(?=\s?\p{{Lu}})|(?<=(?<!\p{{L}})v)\.(?=v(?!\p{{L}}))|(?<=(?<!\p{{L}})v\x03v)\.(?=\s*[,;:\p{{Ll}}])|(?<=(?<!\p{{L}})v\.v)\.(?=\s*[,;:\p{{Ll}}])")
-#: Built-in patterns are faster: this one tells whether the one above is needed, and ends are checked for what follows in code.
-_SHORT = re.compile(rf"(?<![^\W\d_])(?:{ABBREVIATIONS}|{TITLES}|[^\W\d_])\.")
-_END = re.compile(r"[.!?…]+[”’»\")\]]*(?=\s|$)|(?<=\x01)[”’»\"](?=\s|$)")
-_BLANK_START = re.compile(r"\s*")
+
+
+def _short() -> re.Pattern:
+    """A stop after a single letter or one of the abbreviations: whether the pattern above is needed. Words go by length, as a built-in
+    pattern looks back over a fixed length only."""
+    by: dict[int, list[str]] = {}
+    for w in sorted({*ABBREVIATIONS.split("|"), *TITLES.split("|")}):
+        by.setdefault(len(w), []).append(w)
+    long = [rf"(?<=(?<![^\W\d_])(?:{'|'.join(ws)})\.)" for n, ws in sorted(by.items()) if n > 1]
+    return re.compile(r"\.(?:(?<=(?<![^\W\d_])[^\W\d_]\.)|" + "|".join(long) + ")")
+
+
+_SHORT = _short()
+_END = re.compile(r"[.!?…]+[”’»\")\]]*(?=\s|$)")
+_END_QUOTED = re.compile(r"[.!?…]+[”’»\")\]]*(?=\s|$)|(?<=\x01)[”’»\"](?=\s|$)")
 
 
 def latin_ends(text: str) -> list[tuple[int, int]]:
@@ -57,85 +68,82 @@ def latin_ends(text: str) -> list[tuple[int, int]]:
         s = _QUOTES.sub(lambda m: m[0][0] + m[0][1:-1].translate(_MASK) + m[0][-1], s)
     if _SHORT.search(s):
         s = _ABBREVIATED.sub("\x03", s)
-    out, at = [], 0
-    for m in _END.finditer(s):
-        end = m.end()
-        after = _BLANK_START.match(s, end).end()
-        if after < len(s):
+    out, at, n = [], 0, len(s)
+    for m in (_END_QUOTED if "\x01" in s else _END).finditer(s):
+        end = after = m.end()
+        while after < n and s[after].isspace():
+            after += 1
+        if after < n:
             c = s[after]
             if s[m.start()] in ".!?…":
                 if c.islower():
                     continue
             elif not (c.isupper() or c.isdigit()):
                 continue
-        start = _BLANK_START.match(text, at).end()
+        start = at
+        while text[start].isspace():
+            start += 1
         if start < end:
             out.append((start, end - 1))
         at = end
-    if text[at:].strip():
-        start = _BLANK_START.match(text, at).end()
-        out.append((start, len(text.rstrip()) - 1))
+    rest = len(text[at:].rstrip())
+    if rest:
+        start = at
+        while text[start].isspace():
+            start += 1
+        out.append((start, at + rest - 1))
     return out
 
 
-def han_terms(text: str) -> list[str]:
-    return _HAN_RE.findall(plain(text)) if text else []
-
-
-def words(text: str) -> list[str]:
-    if not text:
-        return []
+def mended(text: str) -> str:
+    """A text without what problem 5 mends and with the words whole that a line's end divides."""
     text = plain(text)
-    if "\n" in text:
-        text = _JOIN.sub(r"\1", text)
-    return _WORD.findall(text.lower())
+    return _JOIN.sub(r"\1", text) if "\n" in text else text
 
 
 #: A document as numbers: the tokens of its units on either side, the lengths of the units (none is empty), and what names each unit.
 #: Numbers are packed (int32, tags int64), so that a document is a few values for the JVM and not hundreds.
 CODED = "doc long, a binary, a_len binary, a_tag binary, b binary, b_len binary, b_tag binary"
+_NAMES = [x.split()[0] for x in CODED.split(", ")]
 #: Elements of one step over a batch; bounds the memory of a task.
 STEP = 3_000_000
 
 
-def _low_words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-class _Codes(dict):
-    """Words as numbers: the same for a word in every task."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[w] = v = zlib.crc32(w.encode()) & 0x7FFFFFFF
-        return v
-
-
-_CODES = _Codes()
-
-
-def _code(units_: list[list], tags: list[int], of) -> tuple[bytes, bytes, bytes]:
-    flat, sizes, kept = [], [], []
-    for u, tag in zip(units_, tags):
-        if u:
-            flat += map(of, u)
-            sizes.append(len(u))
-            kept.append(tag)
-    return array("i", flat).tobytes(), array("i", sizes).tobytes(), array("q", kept).tobytes()
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), *[pa.binary()] * 6)
-    cols = list(map(list, zip(*out))) if out else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "a", "a_len", "a_tag", "b", "b_len", "b_tag"])
+def _coded(units_: list[str], of: np.ndarray, tags: list[int], documents: int, han: bool) -> list[pa.Array]:
+    """(tokens, lengths of the units, tags) of each document, packed, from the texts of all units and the document ``of`` each. A word's
+    number is the same in every task. Units without tokens are left out."""
+    number, unit = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in codes.steps(units_):
+        n, u, _ = codes.tokens(units_[i:j], digits=True)
+        right = codes.is_han(n) == han
+        number.append(n[right])
+        unit.append(u[right] + i)
+    number, unit = np.concatenate(number), np.concatenate(unit)
+    sizes = np.bincount(unit, minlength=len(units_))
+    kept = sizes > 0
+    doc = of[kept]
+    tokens_ = (number & 0x7FFFFFFF).astype("<i4")
+    return [
+        _binary(tokens_, np.bincount(of[unit], minlength=documents)),
+        _binary(sizes[kept].astype("<i4"), np.bincount(doc, minlength=documents)),
+        _binary(np.array(tags, "<i8")[kept], np.bincount(doc, minlength=documents)),
+    ]
+
+
+def _binary(numbers: np.ndarray, many: np.ndarray) -> pa.Array:
+    """Numbers as binary values, so many for each row."""
+    ends = np.append(0, np.cumsum(many)) * numbers.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(numbers.tobytes())])
 
 
 def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a packed column, and how many each row has."""
-    rows = column.to_pylist()
-    numbers = np.frombuffer(b"".join(rows), kind).astype(np.int64)
-    return numbers, np.fromiter(map(len, rows), np.int64, len(rows)) // np.dtype(kind).itemsize
+    if column.null_count or column.type != pa.binary():
+        column = column.cast(pa.binary()).fill_null(b"")
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, "<i4")[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    numbers = np.frombuffer(data[int(ends[0]) : int(ends[-1])] if data else b"", kind).astype(np.int64)
+    return numbers, np.diff(ends).astype(np.int64) // np.dtype(kind).itemsize
 
 
 class Side:
@@ -169,8 +177,9 @@ def _sides(b: pa.RecordBatch) -> tuple[Side, Side]:
 def fit(coded: DataFrame):
     """The similarities of the terms of both sides over all coded documents, as a broadcast.
 
-    Two passes over numbers. The first counts terms; the second adds up, for each task, one matrix of how often two kept terms
-    share a document, a document counting for 1 over its number of terms. Matrices are summed by row of the matrix, so the
+    Two passes over numbers. The first counts terms; the second adds up, for each task, one matrix of how often two of the terms that
+    could be kept share a document, a document counting for 1 over its number of terms, and in how many documents each is; those in
+    fewer than TERM_SHARE of them are then dropped. Matrices are summed by row of the matrix, so the
     shuffle depends on tasks and terms and not on rows. The decomposition is of one matrix of kept terms, whose number
     TERM_SHARE bounds.
     """
@@ -199,6 +208,7 @@ def fit(coded: DataFrame):
     def together(batches):
         left, right = known.value
         c = np.zeros((len(left) + 1, len(right) + 1), np.float32)  # the last row and column hold sums
+        within = [np.zeros(len(t) + 1, np.float32) for t in (left, right)]  # documents with each term
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
@@ -210,9 +220,11 @@ def fit(coded: DataFrame):
                     x[doc, side.ids(terms, side.pairs)] = 1
                     x[:, -1] = 1
                     m.append(x)
+                for w, x in zip(within, m):
+                    w += x.sum(0)
                 m[0] *= 30 / np.maximum(10, m[0].sum(1, keepdims=True))
                 c += m[0].T @ m[1]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(c)), pa.int32()), pa.array([r.tobytes() for r in c], pa.binary())], ["i", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(-2, len(c)), pa.int32()), pa.array([r.tobytes() for r in (*within, *c)], pa.binary())], ["i", "row"])
 
     def add(batches):
         rows: dict[int, np.ndarray] = {}
@@ -223,9 +235,14 @@ def fit(coded: DataFrame):
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([r.astype(np.float32).tobytes() for r in rows.values()], pa.binary())], ["i", "row"])
 
     parts = coded.mapInArrow(together, "i int, row binary").repartition(8, "i").mapInArrow(add, "i int, row binary")
-    c = np.zeros((len(left) + 1, len(right) + 1))
-    for r in parts.collect():  # a row for each kept term
-        c[r.i] += np.frombuffer(r.row, np.float32)
+    c, within = np.zeros((len(left) + 1, len(right) + 1)), {}
+    for r in parts.collect():  # a row for each term
+        if r.i < 0:
+            within[r.i] = np.frombuffer(r.row, np.float32)
+        else:
+            c[r.i] = np.frombuffer(r.row, np.float32)
+    keep = [np.append(within[k][:-1] >= max(2.0, TERM_SHARE * docs), True) for k in (-2, -1)]
+    c, left, right = c[keep[0]][:, keep[1]], left[keep[0][:-1]], right[keep[1][:-1]]
     return spark.sparkContext.broadcast((left, right, similarities(c) >= RENDERS))
 
 
@@ -261,22 +278,29 @@ class Aligner:
         self.rows, self.columns = _packed(renders), _packed(np.ascontiguousarray(renders.T))
 
     @staticmethod
-    def _covered(own: Side, rows: np.ndarray, ids: tuple, other: Side, other_ids: tuple):
+    def _covered(own: Side, rows: np.ndarray, ids: tuple, other: Side, other_ids: tuple, none: int):
         """For each unit of ``own`` and token of ``other`` of a document, in this order: whether a term of the unit renders the token or a pair it
         is in."""
         cover = np.bitwise_or.reduceat(rows[ids[0]] | rows[ids[1]], own.starts, axis=0)
+        width = cover.shape[1]
         sizes = own.doc_units * other.doc_tokens
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        width = other.doc_tokens[doc]
-        unit = at // width
-        token = other.token_at[doc] + at - unit * width
-        unit += own.unit_at[doc]
-        out = np.zeros(len(doc), bool)
-        for x in other_ids:
-            x = x[token]
-            out |= (cover[unit, x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) > 0
-        return out, np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
+        out = np.zeros(sizes.sum(), bool)
+        # the known terms of the other side's tokens, by token; every unit of a document meets each of the document's
+        terms = np.stack(other_ids, axis=1).ravel()
+        known = np.flatnonzero(terms < none)
+        terms, token = terms[known], known // len(other_ids)
+        ends = np.searchsorted(token, np.append(other.token_at, len(other.tokens)))
+        many = np.diff(ends)
+        unit = np.repeat(np.arange(len(own.sizes)), np.repeat(many, own.doc_units))
+        doc = np.repeat(np.arange(len(sizes)), own.doc_units * many)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(own.doc_units * many) - own.doc_units * many, own.doc_units * many)
+        at = ends[doc] + at % np.maximum(many, 1)[doc]
+        x = terms[at]
+        hit = np.flatnonzero(cover.ravel()[unit * width + (x >> 6)] >> (x & 63).astype(np.uint64) & np.uint64(1))
+        doc = doc[hit]
+        out[first[doc] + (unit[hit] - own.unit_at[doc]) * other.doc_tokens[doc] + token[at[hit]] - other.token_at[doc]] = True
+        return out, first
 
     @staticmethod
     def _with_before(side: Side, ids: np.ndarray, none: int) -> np.ndarray:
@@ -302,7 +326,7 @@ class Aligner:
         a1, a2 = a.ids(self.left, a.tokens), a.ids(self.left, a.pairs)
         o1, o2 = o.ids(self.right, o.tokens), o.ids(self.right, o.pairs)
         a0, o0 = self._with_before(a, a2, len(self.left)), self._with_before(o, o2, len(self.right))
-        return *self._covered(a, self.rows, (a1, a2), o, (o1, o2, o0)), *self._covered(o, self.columns, (o1, o2), a, (a1, a2, a0))
+        return *self._covered(a, self.rows, (a1, a2), o, (o1, o2, o0), len(self.right)), *self._covered(o, self.columns, (o1, o2), a, (a1, a2, a0), len(self.left))
 
     def tile(self, b: pa.RecordBatch):
         """Of one document with units on both sides: (covered characters and words of each pair of units, tokens of a covered by each unit
@@ -336,9 +360,17 @@ class Aligner:
         good = _enough(ch, co, la, o.sizes[v])
         single = n[doc] == 1
         good = np.where(single, (ch >= np.maximum(2, 0.25 * la)) | (ch >= la), good)
-        # documents in which no unit has two partners need no search
+        # documents in which all pairs are mutual nearest neighbours need no search
+        dice = (ch + co) / (la + o.sizes[v])
+        turned = np.argsort(v, kind="stable")
+        near, back = _near(dice, u), np.empty(len(v), np.int64)
+        back[turned] = np.arange(len(v))
+        near_v = _near(dice[turned], v[turned])[back]
+        score = _margin(dice, near, near_v)
+        mutual = (score >= _tops(score, u)) & (score >= _tops(score[turned], v[turned])[back])
         unclear = np.zeros(len(n), bool)
-        for unit, units_ in ((u, len(a.sizes)), (v, len(o.sizes))):
+        unclear[doc[good & ~mutual & ~single]] = True
+        for unit, units_ in ((u, len(a.sizes)), (v, len(o.sizes))):  # ties
             many = np.bincount(unit[good], minlength=units_) > 1
             unclear[doc[many[unit]]] = True
         good &= ~unclear[doc]
@@ -349,7 +381,7 @@ class Aligner:
             so = slice(o.unit_at[d], o.unit_at[d] + shape[1])
             oa = on_a[a_at[d] : a_at[d] + shape[1] * a.doc_tokens[d]].reshape(shape[1], -1)
             oo = on_o[o_at[d] : o_at[d] + shape[0] * o.doc_tokens[d]].reshape(shape[0], -1)
-            good[k] = _search(ch[k].reshape(shape), co[k].reshape(shape), oa, oo, a.sizes[sa], o.sizes[so]).ravel()
+            good[k] = _search(score[k].reshape(shape), ch[k].reshape(shape), co[k].reshape(shape), oa, oo, a.sizes[sa], o.sizes[so]).ravel()
         return doc[good], u[good], v[good]
 
 
@@ -358,29 +390,45 @@ def _enough(ch: np.ndarray, co: np.ndarray, la: np.ndarray, lo: np.ndarray) -> n
     return (ch >= 2) & (co >= 2) & (((ch >= OWN) & (co >= OWN)) | (ch >= MOST * la) | (co >= MOST * lo))
 
 
-def _search(ch: np.ndarray, co: np.ndarray, on_a: np.ndarray, on_o: np.ndarray, la: np.ndarray, lo: np.ndarray) -> np.ndarray:
+def _tops(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The largest of each run of ``of``, for each of its members."""
+    new = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    return np.repeat(np.maximum.reduceat(values, new), np.diff(np.append(new, len(of))))
+
+
+def _near(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The mean of the two largest of each run of ``of``, or of the one there is."""
+    top = _tops(values, of)
+    place = np.arange(len(of))
+    first = -_tops(np.where(values == top, -place, -len(of) - 1), of)  # where it is
+    second = _tops(np.where(place == first, -1.0, values), of)
+    return np.where(second < 0, top, (top + second) / 2)
+
+
+def _margin(dice: np.ndarray, near_a: np.ndarray, near_b: np.ndarray) -> np.ndarray:
+    """What two units share, against what either shares with its nearest neighbours."""
+    return dice * 2 * dice / (near_a + near_b + 1e-6)
+
+
+def _search(score: np.ndarray, ch: np.ndarray, co: np.ndarray, on_a: np.ndarray, on_o: np.ndarray, la: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Which pairs of one document's units hold: by margin over each unit's nearest neighbours, best first; a pair needs characters and words
     of its own, that is such as no pair before it has covered, so that windows grow where units were merged or divided, in any order."""
-    dice = (ch + co) / (la[:, None] + lo[None])
-
-    def near(axis: int) -> np.ndarray:  # mean of the two nearest neighbours
-        k = min(2, dice.shape[axis])
-        return np.sort(dice, axis=axis).take(range(dice.shape[axis] - k, dice.shape[axis]), axis=axis).mean(axis=axis, keepdims=True)
-
-    score = dice * 2 * dice / (near(1) + near(0) + 1e-6)
-    ua, uo = np.cumsum(la) - la, np.cumsum(lo) - lo
-    free_a, free_o = np.ones(la.sum(), bool), np.ones(lo.sum(), bool)
-    out = np.zeros(dice.shape, bool)
-    for at in np.argsort(-score, axis=None, kind="stable"):
-        i, j = divmod(int(at), dice.shape[1])
-        if ch[i, j] < 2 or co[i, j] < 2:
-            continue
-        sa, so = slice(ua[i], ua[i] + la[i]), slice(uo[j], uo[j] + lo[j])
-        ga, go = np.count_nonzero(on_a[j, sa] & free_a[sa]), np.count_nonzero(on_o[i, so] & free_o[so])
+    out = np.zeros(score.shape, bool)
+    at = np.flatnonzero((ch >= 2) & (co >= 2))
+    at = at[np.argsort(-score.ravel()[at], kind="stable")]
+    bits = lambda m: [int.from_bytes(r.tobytes(), "little") for r in np.packbits(m, axis=1, bitorder="little")]
+    by_b, by_a = bits(on_a), bits(on_o)
+    sa, so = ([((1 << n) - 1) << k for n, k in zip(sizes.tolist(), (np.cumsum(sizes) - sizes).tolist())] for sizes in (la, lo))
+    la, lo, width = la.tolist(), lo.tolist(), score.shape[1]
+    free_a, free_o = (1 << sum(la)) - 1, (1 << sum(lo)) - 1
+    for k in at.tolist():
+        i, j = divmod(k, width)
+        ma, mo = by_b[j] & sa[i], by_a[i] & so[j]
+        ga, go = (ma & free_a).bit_count(), (mo & free_o).bit_count()
         if (ga >= OWN and go >= OWN) or (ga >= MOST * la[i] and go >= 2) or (go >= MOST * lo[j] and ga >= 2):
             out[i, j] = True
-            free_a[sa] &= ~on_a[j, sa]
-            free_o[so] &= ~on_o[i, so]
+            free_a &= ~ma
+            free_o &= ~mo
     return out
 
 
@@ -388,7 +436,7 @@ def align(coded: DataFrame, shared) -> DataFrame:
     """(doc, a_tag, b_tag) of the pairs of units of coded documents. One narrow pass; a batch goes in steps of bounded size."""
 
     def run(batches):
-        aligner = Aligner(*shared.value)
+        aligner = codes.once(shared, Aligner)
         for b in batches:
             tokens_, units_ = (np.array(pa.compute.binary_length(b.column(k)).to_pylist(), np.int64) // 4 for k in (1, 5))
             work = np.cumsum(tokens_ * units_ + 1)
@@ -401,8 +449,7 @@ def align(coded: DataFrame, shared) -> DataFrame:
                 tags = [_unpacked(part.column(k), "<i8")[0] for k in (3, 6)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(tags[0][u]), pa.array(tags[1][v])], ["doc", "a_tag", "b_tag"])
 
-    names = [x.split()[0] for x in CODED.split(", ")]
-    return coded.select(*names).where("length(a) > 0 and length(b) > 0").mapInArrow(run, "doc long, a_tag long, b_tag long")
+    return coded.select(*_NAMES).where("length(a) > 0 and length(b) > 0").mapInArrow(run, "doc long, a_tag long, b_tag long")
 
 
 def coded_records(records: DataFrame) -> DataFrame:
@@ -411,17 +458,17 @@ def coded_records(records: DataFrame) -> DataFrame:
     x = rows.select("row_id", "han", "meaning", F.transform(units(F.col("han")), lambda u: F.array(u["start"], u["last"])).alias("units"))
 
     def run(batches):
-        gc.disable()  # many small lists and no cycles
-        of = _CODES.__getitem__
         for b in batches:
-            out = []
-            for row, han, meaning, us in zip(*(b.column(i).to_pylist() for i in range(4))):
-                vs = latin_ends(meaning)
-                # texts with nothing to mend need no look at each unit
-                h = han_terms if mends(han) else _HAN_RE.findall
-                w = words if mends(meaning) or "\n" in meaning else _low_words
-                out.append((row, *_code([h(han[s : e + 1]) for s, e in us], [e for _, e in us], ord), *_code([w(meaning[s : e + 1]) for s, e in vs], [e for _, e in vs], of)))
-            yield _rows(out)
+            sides = [([], [], []), ([], [], [])]  # texts of units, their documents, their tags
+            for doc, (han, meaning, us) in enumerate(zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))):
+                for (texts, of, tags), text, ends in ((sides[0], han, us), (sides[1], meaning, latin_ends(meaning))):
+                    made = [text[i : j + 1] for i, j in ends]
+                    # texts with nothing to mend need no look at each unit
+                    texts += map(mended, made) if "\n" in text or mends(text) else made
+                    of += [doc] * len(made)
+                    tags += [j for _, j in ends]
+            made = [_coded(texts, np.array(of, np.int64), tags, b.num_rows, k == 0) for k, (texts, of, tags) in enumerate(sides)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made[0], *made[1]], _NAMES)
 
     return x.mapInArrow(run, CODED)
 
@@ -463,7 +510,7 @@ def long_pages(columns: DataFrame, shared) -> DataFrame:
     bits = lambda m: np.packbits(m, bitorder="little").tobytes()
 
     def run(batches):
-        aligner = Aligner(*shared.value)
+        aligner = codes.once(shared, Aligner)
         for b in batches:
             for at in range(b.num_rows):
                 part = b.slice(at, 1)
@@ -530,14 +577,10 @@ def column_pairs(aligned: DataFrame) -> DataFrame:
     rows = aligned.where("row_id is not null and sentence_id is not null").select("row_id", F.regexp_replace("sentence_id", r"\.[^.]*$", "").alias("page"), clean(F.col("sn_chars")).alias("han"), clean(F.col("qn_words")).alias("other")).dropDuplicates(["row_id"])
 
     def run(batches):
-        of = _CODES.__getitem__
         for b in batches:
-            out, pages = [], []
-            for row, page, han, other in zip(*(b.column(i).to_pylist() for i in range(4))):
-                out.append((row, *_code([han_terms(han or "")], [row], ord), *_code([words(other or "")], [row], of)))
-                pages.append(page)
-            r = _rows(out)
-            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(pages, pa.string())], [*r.schema.names, "page"])
+            n = b.num_rows
+            made = [_coded([mended(t or "") for t in b.column(k).to_pylist()], np.arange(n), b.column(0).to_pylist(), n, k == 2) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made[0], *made[1], b.column(1)], [*_NAMES, "page"])
 
     coded = written(rows.select("row_id", "page", "han", "other").mapInArrow(run, CODED + ", page string"), "coded-columns")
     shared = fit(coded)
@@ -546,7 +589,7 @@ def column_pairs(aligned: DataFrame) -> DataFrame:
     long = written(sizes.where(F.col("n") > PAGE_COLUMNS), "long-pages")
     any_long = not long.isEmpty()
     short = x.join(long, "page", "left_anti") if any_long else x
-    names = [n.split()[0] for n in CODED.split(", ")][1:]
+    names = _NAMES[1:]
     pages = short.groupBy("page").agg(F.min("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("doc", *names))).alias("c"))  # 2 PAGE_COLUMNS at most
     pages = pages.select("doc", *(_joined(n) for n in names))
     found = align(pages, shared).select("a_tag", "b_tag")
