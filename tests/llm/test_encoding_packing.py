@@ -71,7 +71,7 @@ def test_pack(spark):
     rnd = random.Random(5)
     for sizes, capacity in (({i: int(rnd.lognormvariate(4, 1.2)) for i in range(1500)}, 512), ({i: 7 for i in range(900)}, 64), ({1: 0, 2: 5000, 3: 100}, 100), ({1: 0}, 10), ({}, 10)):
         df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens int")
-        rows = P.pack(df, capacity=capacity, salts=4).collect()
+        rows = P.pack(df, capacity=capacity, part=9).collect()
         if sizes:
             used = check(rows, sizes, capacity)
             if len(sizes) > 1000:
@@ -82,7 +82,7 @@ def test_pack(spark):
 
 def test_pack_repeats_and_nulls(spark):
     df = spark.createDataFrame([(1, 30), (1, 30), (None, 5), (2, None), (3, -4)], "doc_id long, n_tokens int")
-    rows = P.pack(df, capacity=40, salts=2).collect()
+    rows = P.pack(df, capacity=40, part=50).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in rows) == [(-1, 5), (1, 30), (1, 30), (2, 0), (3, 0)]
     by = {}
     for r in rows:

@@ -68,7 +68,7 @@ def test_held_out_noise(spark):
     """Errors put into lines the channel has not counted are found; clean lines stay."""
     clean, rec = corpus(spark, 600)
     none = spark.createDataFrame([], "row_id long, text string, error string")
-    channel = S.Channel(*S.fit(rec, none).value)
+    channel = S.Channel(*S.fit(rec, none)[0].value)
     rnd = random.Random(9)
     hit = 0
     for k in range(200):
@@ -97,7 +97,7 @@ def test_rare_pairs_count(spark, monkeypatch, share):
             n[b] = n.get(b, 0) + 1
     want = {tuple(r) for r in S.noise(rec, ocr).collect()}
     monkeypatch.setattr(S, "PAIR_SHARE", share)
-    channel = S.Channel(*S.fit(rec, ocr).value)
+    channel = S.Channel(*S.fit(rec, ocr)[0].value)
     assert {p: channel.pairs.get(p, 0) for p in pairs} == pairs and {w: channel.n.get(w, 0) for w in n} == n
     assert channel.total == sum(n.values()) and channel.common == {w for w, k in n.items() if k >= 3 and w.isalpha()}
     assert channel.pairs.get(("làng", "quan"), 0) == 0 and ("làng", "quan") not in channel.pairs and ("quan", "hiếm") in channel.pairs
@@ -108,7 +108,7 @@ def test_neighbours_misread_into_common_words(spark):
     """Three words in a row, each misread into another common word, are mended together."""
     lines = ["đi nan ban can về."] * 300 + [f"kia {w} rồi." for w in ("nau", "bau", "cau")] * 100
     rec = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(lines)], "row_id long, han string, han_raw string, meaning string")
-    channel = S.Channel(*S.fit(rec, spark.createDataFrame([], "row_id long, text string, error string")).value)
+    channel = S.Channel(*S.fit(rec, spark.createDataFrame([], "row_id long, text string, error string"))[0].value)
     assert channel.repair("đi nau bau cau về.") == ([(1, "misread")], "đi nan ban can về.")
     assert channel.repair("kia bau rồi.")[0] == []
 

@@ -13,8 +13,8 @@ from vellum.tables import written
 CAPACITY = 2048
 #: Length buckets; more of them mean less padding and a longer plan.
 BUCKETS = 400
-#: Parts of a bucket that are ranked apart, so that a bucket with a third of all rows is no single task.
-SALTS = 256
+#: Pieces of a part of a bucket that is ranked apart, so that a bucket with a third of all rows is no single task.
+PART = 1_000_000
 
 
 def boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -22,7 +22,8 @@ def boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
 
     ``counts[s]`` is the number of pieces of size s (index 0 unused). A piece in bucket (a, b] pads b - s. The cost of a
     bucket is b * N(a, b) - T(a, b) with N and T the running counts and tokens, so a step of the programme is one vector
-    operation for each size; the histogram has capacity + 1 entries, whatever the data's size.
+    operation for each halving of the sizes: the cost is Monge, so the programme takes buckets * capacity * log(capacity) steps.
+    The histogram has capacity + 1 entries, whatever the data's size.
     """
     sizes = np.flatnonzero(counts)
     if not len(sizes):
@@ -34,12 +35,27 @@ def boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
         return sizes.tolist()
     best, back = np.full(m + 1, np.inf), np.zeros((k + 1, m + 1), dtype=np.int32)
     best[0] = 0
+    top = 1 << max(m - 1, 1).bit_length()
     for b in range(1, k + 1):
-        now = np.full(m + 1, np.inf)
-        for j in range(b, m + 1):
-            cost = best[:j] + sizes[j - 1] * (n[j] - n[:j]) - (t[j] - t[:j])
-            back[b, j] = i = int(cost.argmin())
-            now[j] = cost[i]
+        now, cut = np.full(m + 1, np.inf), back[b]
+        gap = top
+        while gap:  # the best cut never falls as j grows, so it is looked for between those of the places halfway before and after
+            j = np.arange(gap, m + 1, 2 * gap)
+            j = j[j >= b]
+            if len(j):
+                low = np.where(j - gap >= b, cut[j - gap], b - 1)
+                after = np.minimum(j + gap, m)
+                high = np.minimum(np.where((after > j) & (now[after] < np.inf), cut[after], j - 1), j - 1)
+                n_ = high - low + 1
+                first = np.cumsum(n_) - n_
+                i = np.arange(n_.sum()) - np.repeat(first - low, n_)
+                jj = np.repeat(j, n_)
+                cost = best[i] + sizes[jj - 1] * (n[jj] - n[i]) - (t[jj] - t[i])
+                least = np.minimum.reduceat(cost, first)
+                hit = np.flatnonzero(cost == np.repeat(least, n_))
+                hit = hit[np.searchsorted(hit, first)]
+                now[j], cut[j] = least, i[hit]
+            gap >>= 1
         best = now
     out, j = [], m
     for b in range(k, 0, -1):
@@ -114,15 +130,15 @@ def pieces(sizes: DataFrame, id_: str = "doc_id", size: str = "n_tokens", capaci
     return cut.select(id_, F.col("k").cast("int").alias("piece_no"), first.alias("first_token"), F.least(F.col("n") - first, F.lit(capacity)).cast("int").alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, id_: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, buckets: int = BUCKETS, salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, id_: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, buckets: int = BUCKETS, part: int = PART) -> DataFrame:
     """Assigns every item to containers: (id_, piece_no, first_token, n_tokens, container_id).
 
     No container holds more than ``capacity``; an item is divided only where it alone exceeds one. Items of size 0 (null,
     empty) take no room and go to container 0. Rows that repeat are items of their own. An empty table gives no rows.
 
-    What reaches the driver is the histogram (at most ``capacity`` rows) and the counts of the parts (at most buckets * salts
-    rows); both are bounded by parameters. A piece's rank in its bucket is its rank in its part, (bucket, hash of the id),
-    plus the number of pieces in earlier parts: one shuffle, and no bucket is a single task.
+    What reaches the driver is the histogram (at most ``capacity`` rows) and the counts of the parts (one for each bucket and for
+    every ``part`` pieces). A piece's rank in its bucket is its rank in its part, (bucket, hash of the id), of which a bucket has as
+    many as its pieces need, plus the number of pieces in earlier parts: one shuffle, and no bucket is a single task.
     """
     rows = pieces(sizes, id_, size, capacity)
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -131,9 +147,11 @@ def pack(sizes: DataFrame, id_: str = "doc_id", size: str = "n_tokens", capacity
     bounds, slots, _ = plan(counts, capacity, buckets)
     if not bounds:
         return rows.withColumn("container_id", F.lit(0).cast("long"))
-    edges = np.searchsorted(bounds, np.arange(capacity + 1)).tolist()
-    table = sizes.sparkSession.createDataFrame(list(enumerate(edges)), "n_tokens int, bucket int")  # capacity + 1 rows
-    marked = rows.join(F.broadcast(table), "n_tokens").withColumn("part", F.pmod(F.xxhash64(id_, "piece_no"), F.lit(salts)).cast("int"))
+    edges = np.searchsorted(bounds, np.arange(capacity + 1))
+    parts = -(-np.bincount(edges, weights=counts, minlength=len(bounds)).astype(np.int64) // part)
+    table = [(s, int(k), max(int(parts[k]), 1)) for s, k in enumerate(edges)]
+    table = sizes.sparkSession.createDataFrame(table, "n_tokens int, bucket int, parts int")  # capacity + 1 rows
+    marked = rows.join(F.broadcast(table), "n_tokens").withColumn("part", F.pmod(F.xxhash64(id_, "piece_no"), F.col("parts")).cast("int"))
     filled, empty = marked.where("n_tokens > 0"), marked.where("n_tokens = 0")
     before, base = {}, {}
     for r in sorted(filled.groupBy("bucket", "part").count().collect()):

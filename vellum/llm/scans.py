@@ -16,6 +16,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections import Counter
+from contextlib import contextmanager
 from hashlib import blake2b
 from operator import itemgetter
 
@@ -25,6 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm import codes
 from vellum.llm.lookalikes import Model as LetterModel
 from vellum.llm.lookalikes import _UNSEEN_RE, form
 
@@ -35,11 +37,18 @@ HYPHENS = "-¬=­‐"
 NUMERALS = "〇零一二三四五六七八九十百千"
 #: Shares of the corpus that bound what is broadcast: a pair of words, a token or a header shape is broadcast if it makes up at least this
 #: share of all, so that at most 1 / share of them are, whatever the corpus. Rarer pairs and tokens are looked up in a file.
-PAIR_SHARE, SHAPE_SHARE, LEAST_SHAPES, AT_EDGE = 1e-6, 2e-4, 5, 0.4
+PAIR_SHARE, SHAPE_SHARE, AT_EDGE = 1e-6, 2e-4, 0.4
+#: A shape is a running header of a work if it is at the edge of so many of its pages and of this share of its texts, and so many times
+#: out of those it occurs (AT_EDGE). It then counts in that work; those that make up SHAPE_SHARE of all texts count everywhere.
+LEAST_PAGES, WORK_SHARE = 5, 0.005
+#: Works whose headers are joined by broadcast; more are joined by a shuffle.
+BROADCAST_WORKS = 100_000
 #: Share of all tokens from which a word can be a candidate; share of the numbers from which the next word is a unit of measure.
 COMMON, UNIT = 2e-5, 0.004
 #: Log probabilities that a known error, another accent and any other one-character error turned a word into what was read.
 KNOWN, MARK, OTHER = math.log(0.08), math.log(0.06), math.log(0.0004)
+#: Log probability that a reader's correction of the same text shows a character that is not on the page.
+READER = math.log(1e-12)
 #: Weight of a word's own frequency where a pair was not seen.
 SMOOTH = 0.5
 
@@ -107,50 +116,82 @@ def shape(line: str) -> str:
 
 
 def countable(s: str) -> bool:
-    """Whether a shape can be a running header: some words, no final mark, not Han."""
-    return 8 <= len(s) <= 60 and s[-1] not in _MARKS and s.count(" ") >= 2 and not _HAN_RE.search(s)
+    """Whether a shape can be a running header: some words, no final mark, no label, not Han."""
+    return 8 <= len(s) <= 60 and s[-1] not in _MARKS and s.count(" ") >= 2 and ":" not in s and not _HAN_RE.search(s)
+
+
+@contextmanager
+def uncollected():
+    """Without garbage collection, for tables of millions of small objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """(kind, a, b, n) over all rows of (han, shown, read): kind w: tokens; p: neighbouring tokens; t: texts and edges of shapes
-    (e at a text's first or last line, a anywhere); c: Han characters confused, as shown in ``han`` and as read in ``read``.
+    """(kind, a, b, n, pages) over all rows of (han, shown, read, work, page); kind p: neighbouring tokens; t: texts of a work (b); e and a:
+    shapes (a) of a work (b) at a text's first or last line and anywhere; c: Han characters confused, as shown in ``han`` and as read
+    in ``read``. ``pages``: which of 64 classes of pages a shape is at the edge of, a bit each.
 
     ``shown`` holds texts as scanned, ``han`` corrected Han text, ``read`` its scan. Rows are combined in each task before
     the shuffle, so what is shuffled are distinct pairs of words.
     """
 
     def run(batches):
-        gc.disable()  # tables of millions of small objects and no cycles
-        pairs, shapes, confused, n = Counter(), Counter(), Counter(), 0
-        for b in batches:
-            for shown, times in Counter(b.column(1).to_pylist()).items():  # an answer given twice is read once
-                if shown and (shown := plain(shown)):
-                    lines = shown.split("\n")
-                    # Han text is counted as corrected only
-                    ts = tokens(shown if not _HAN_RE.search(shown) else " ".join("." if _HAN_RE.search(x) else x for x in lines))
-                    for _ in range(times):
-                        pairs.update(zip([".", *ts], [*ts, "."]))
-                    n += times
+        pairs, shapes, confused, n, pages = Counter(), Counter(), Counter(), Counter(), {}
+        known: dict[str, list[str]] = {}  # answers of several models share most lines
+        with uncollected():
+            for b in batches:
+                whole: dict[str, list[str]] = {}  # an answer given twice is read once
+                for shown, work, page in zip(*(b.column(i).to_pylist() for i in (1, 3, 4))):
+                    if not shown:
+                        continue
+                    lines = whole.get(shown)
+                    if lines is None:
+                        lines = whole[shown] = plain(shown).split("\n")
+                    n["t", "", work] += 1
+                    ts = ["."]
+                    for line in lines:
+                        got = known.get(line)
+                        if got is None:
+                            if len(known) >= 60_000:
+                                known.clear()
+                            # Han text is counted as corrected only
+                            got = known[line] = tokens(line) if not _HAN_RE.search(line) else ["."] if len(lines) > 1 or line.strip() else []
+                        ts += got
+                    pairs.update(zip(ts, [*ts[1:], "."]))
                     for i, line in enumerate(lines):
                         if 8 <= len(line) < 60 and line[-1] not in _MARKS and not line[0].islower() and countable(s := shape(line)):
-                            shapes["a", s] += times
+                            shapes["a", s, work] += 1
                             if i == 0 or i == len(lines) - 1:
-                                shapes["e", s] += times
-            for han, read in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if han:
-                    han = plain(han)
-                    ts = tokens(han)
-                    pairs.update(zip([".", *ts], [*ts, "."]))
-                    if read:
-                        body = "".join(x for x in plain(read).split("\n") if not furniture_han(x))
-                        flat = han.replace("\n", "")
-                        if len(body) == len(flat) and body != flat:
-                            confused.update((x, y) for x, y in zip(flat, body) if x != y)
-        out = [("p", a, c, k) for (a, c), k in pairs.items()] + [(k, s, "", v) for (k, s), v in shapes.items()] + [("c", a, c, k) for (a, c), k in confused.items()] + [("t", "", "", n)]
+                                shapes["e", s, work] += 1
+                                if page is not None:
+                                    pages[s, work] = pages.get((s, work), 0) | 1 << (page & 63)
+                for han, read in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                    if han:
+                        han = plain(han)
+                        ts = tokens(han)
+                        pairs.update(zip([".", *ts], [*ts, "."]))
+                        if read:
+                            body = "".join(x for x in plain(read).split("\n") if not furniture_han(x))
+                            flat = han.replace("\n", "")
+                            if len(body) == len(flat) and body != flat:
+                                confused.update((x, y) for x, y in zip(flat, body) if x != y)
+        out = [("p", a, c, k, 0) for (a, c), k in pairs.items()] + [("c", a, c, k, 0) for (a, c), k in confused.items()]
+        out += [(k, s, w, v, _signed(pages.get((s, w), 0)) if k == "e" else 0) for (k, s, w), v in (*shapes.items(), *n.items())]
         for at in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_pydict(dict(zip(("kind", "a", "b", "n"), map(list, zip(*out[at : at + 50_000])))))
+            yield pa.RecordBatch.from_pydict(dict(zip(("kind", "a", "b", "n", "pages"), map(list, zip(*out[at : at + 50_000])))))
 
-    return texts.select("han", "shown", "read").mapInArrow(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    x = texts.select("han", "shown", "read", F.coalesce("work", F.lit("")), F.col("page").cast("long"))
+    return x.mapInArrow(run, "kind string, a string, b string, n long, pages long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.bit_or("pages").alias("pages"))
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def furniture_han(line: str) -> bool:
@@ -206,6 +247,27 @@ def rare_file(rare: DataFrame) -> str:
     return os.path.basename(name)
 
 
+class Headers:
+    """Running headers, also as misread by a character."""
+
+    def __init__(self, shapes: list[str]):
+        self.shapes = frozenset(shapes)
+        self.near: set[str] = set()
+        for h in shapes:
+            self.near |= {h[:i] + "*" + h[i + 1 :] for i in range(len(h))} | {h[:i] + h[i + 1 :] for i in range(len(h))}
+        self.longest = max(map(len, shapes), default=0) + 8
+
+    def has(self, line: str) -> bool:
+        if not self.shapes or not 8 <= len(line) <= max(self.longest, 60) or line[0].islower():
+            return False
+        s = shape(line)
+        if s in self.shapes:
+            return True
+        if not 8 <= len(s) <= self.longest or line[-1] in ".!?…)”’»\"" and not s[:-1] in self.near:
+            return False
+        return s in self.near or any(s[:i] + "*" + s[i + 1 :] in self.near or s[:i] + s[i + 1 :] in self.shapes for i in range(len(s)))
+
+
 class Channel:
     """Candidates, scores and repair of lines, from the counts of a corpus.
 
@@ -218,10 +280,8 @@ class Channel:
             file = tuple(np.memmap(SparkFiles.get(rare + end), "<i8", "r") for end in (".key", ".n"))
             self.pairs, self.n = Counts(pairs, file), Counts(n, file)
         self.units = {b for (a, b), k in pairs.items() if a == "0" and k > UNIT * self.n["0"] and b.isalpha()}
-        self.headers = set(headers)
-        self.near_headers: set[str] = set()
-        for h in headers:
-            self.near_headers |= {h[:i] + "*" + h[i + 1 :] for i in range(len(h))} | {h[:i] + h[i + 1 :] for i in range(len(h))}
+        self.headers = Headers(headers)
+        self.own: dict[tuple[str, ...], Headers] = {}
         self.total = total
         self.common = {w for w, k in self.n.items() if k >= max(3, COMMON * total) and w.isalpha()}
         self.index: dict[str, list[str]] = {}
@@ -236,7 +296,6 @@ class Channel:
                 self.han.setdefault(read, {})[shown] = math.log(max(min(k / (self.n[shown] + 1), 0.3), 0.01))
         self.confused = {(read, shown) for shown, read in CONFUSED}
         self.safe_pairs: dict[tuple[str, str], bool] = {}
-        self.longest = max(map(len, headers), default=0) + 8
         self.steps: dict[tuple[str, str], float] = {}
         self.lines: dict[str, tuple[bool, str, bool, list[str], list[int]]] = {}
         self.furniture: dict[str, bool | None] = {}
@@ -356,17 +415,20 @@ class Channel:
             got = self.lines[line] = self.read(line)
         return got
 
-    def decode(self, ts: list[str], unsafe: set[int]) -> dict[int, str]:
+    def decode(self, ts: list[str], unsafe: set[int], second: dict[int, str] | None = None) -> dict[int, str]:
         """Where and by what the best path differs from the tokens read (from 1 to the last but one; the outer two are context).
 
-        ``unsafe``: the places of pairs that are not safe.
+        ``unsafe``: the places of pairs that are not safe. ``second``: what another reader saw at some places; where both saw the
+        same, nothing else can win.
         """
         n, out, i = len(ts), {}, 1
-        if not unsafe:
+        if not unsafe and not second:
             return out
         open_ = [False] * n
         for j in unsafe:
             open_[j] = open_[j + 1] = True
+        for k, t in (second or {}).items():
+            open_[k] = t != ts[k]
         open_[0] = open_[-1] = False
         while i < n - 1:
             if not open_[i]:
@@ -376,29 +438,46 @@ class Channel:
             while open_[j]:
                 j += 1
             span = tuple(ts[i - 1 : j + 1])
-            best = self.spans.get(span)
+            others = tuple(second.get(k) for k in range(i, j)) if second else ()
+            key = (span, others) if any(others) else span
+            best = self.spans.get(key)
             if best is None:
                 if len(self.spans) >= 60_000:
                     self.spans.clear()
-                best = self.spans[span] = self.viterbi(span)
+                best = self.spans[key] = self.viterbi(span, others)
             for k, v in enumerate(best, i):
                 if v != ts[k]:
                     out[k] = v
             i = j
         return out
 
-    def viterbi(self, span: tuple[str, ...]) -> tuple[str, ...]:
-        """The best words in place of the inner tokens of a span, between its two outer ones."""
+    def viterbi(self, span: tuple[str, ...], others: tuple[str | None, ...] = ()) -> tuple[str, ...]:
+        """The best words in place of the inner tokens of a span, between its two outer ones. ``others``: what a second reader saw in
+        place of each, if anything: then a word must explain both."""
         paths, before = {span[0]: (0.0, ())}, span[0]
-        for t in span[1:-1]:
+        for k, t in enumerate(span[1:-1]):
+            other = others[k] if others else None
+            there = self.candidates(t)
+            if other is not None and other not in there:
+                there = {**there, other: OTHER}
+            wrong = 0.0 if other is None or other == t else READER
             own = self.step_read(before, t) if before in paths else None
-            now = {t: max((s + (own if a == before else self.step(a, t)), (*path, t)) for a, (s, path) in paths.items())}
-            for v, p in self.candidates(t).items():
+            now = {t: max((s + wrong + (own if a == before else self.step(a, t)), (*path, t)) for a, (s, path) in paths.items())}
+            for v, p in there.items():
+                p += 0.0 if other is None or other == v else READER
                 now[v] = max((s + p + self.step(a, v), (*path, v)) for a, (s, path) in paths.items())
             paths, before = now, t
         return max((s + (self.step_read(a, span[-1]) if a == before else self.step(a, span[-1])), path) for a, (s, path) in paths.items())[1]
 
-    def is_furniture(self, line: str, after: str | None) -> bool:
+    def is_furniture(self, line: str, after: str | None, own: tuple[str, ...] = ()) -> bool:
+        """Whether a line is a running header, a footer or a page number; ``own``: headers of the text's work alone."""
+        if own:
+            if own not in self.own:
+                if len(self.own) >= 1000:
+                    self.own.clear()
+                self.own[own] = Headers(own)
+            if self.own[own].has(line):
+                return True
         got = self.furniture.get(line, 0)
         if got == 0 and got is not False:
             if len(self.furniture) >= 60_000:
@@ -412,16 +491,9 @@ class Channel:
     def _is_furniture(self, line: str) -> bool:
         if _DECORATED.fullmatch(line) or _FOLIO.fullmatch(line) or _VOLUME.fullmatch(line):
             return True
-        if not 8 <= len(line) <= max(self.longest, 60) or line[0].islower():
+        if not 8 <= len(line) <= max(self.headers.longest, 60) or line[0].islower():
             return False
-        if _VOLUME_VI.fullmatch(line):
-            return True
-        s = shape(line)
-        if s in self.headers:
-            return True
-        if not 8 <= len(s) <= self.longest or line[-1] in ".!?…)”’»\"" and not s[:-1] in self.near_headers:
-            return False
-        return s in self.near_headers or any(s[:i] + "*" + s[i + 1 :] in self.near_headers or s[:i] + s[i + 1 :] in self.headers for i in range(len(s)))
+        return bool(_VOLUME_VI.fullmatch(line)) or self.headers.has(line)
 
     def points(self, line: str) -> str:
         """The line with ! as i where a word with i is likelier."""
@@ -438,11 +510,12 @@ class Channel:
 
         return re.sub(r"([^\W\d_]+)!(?!!)(\s*.|$)", one, line)
 
-    def repair(self, text: str, corrected: str | None = None, join: bool = True) -> tuple[list[tuple[int, str]], str]:
+    def repair(self, text: str, corrected: str | None = None, join: bool = True, own: tuple[str, ...] = ()) -> tuple[list[tuple[int, str]], str]:
         """The noise of a text, (line from 1, kind), and the text as continuous paragraphs.
 
         ``corrected``: the same text as a reader corrected it, where there is one; where it has as many characters as the body
-        it is the likeliest path. ``join``: whether the paragraphs are wanted.
+        it is a second observation of each of them for the decoder. ``join``: whether the paragraphs are wanted. ``own``: running headers
+        of the text's work alone.
         """
         if text == corrected and "\n" not in text and not join:
             return [], text
@@ -450,7 +523,7 @@ class Channel:
         noise: list[tuple[int, str]] = []
         body: list[int] = []
         for i, line in enumerate(lines):
-            if self.is_furniture(line, lines[i + 1] if i + 1 < len(lines) else None):
+            if self.is_furniture(line, lines[i + 1] if i + 1 < len(lines) else None, own):
                 noise.append((i + 1, "furniture"))
             elif line and not line.isspace():
                 body.append(i)
@@ -500,12 +573,13 @@ class Channel:
             unsafe.add(len(ts) - 1)
         ts.append(".")
         owner.append(-1)
-        changed = self.decode(ts, unsafe)
+        second = None
         if corrected:
             shown = _HAN_RE.findall(plain(corrected))
             at = [k for k, t in enumerate(ts) if _HAN_RE.match(t)]
             if len(shown) == len(at) and sum(ts[k] != t for k, t in zip(at, shown)) <= max(2, len(at) // 4):
-                changed = {k: t for k, t in zip(at, shown) if ts[k] != t}
+                second = dict(zip(at, shown))
+        changed = self.decode(ts, unsafe, second)
         for k, v in changed.items():
             i = owner[k]
             if i < 0:
@@ -537,69 +611,100 @@ class Channel:
         return out
 
 
+def _work(df: DataFrame, name: str):
+    """What names a text's work; all texts of a table without such a column are of one work."""
+    return F.lower(F.trim(F.coalesce(F.col(name), F.lit("")))) if name in df.columns else F.lit("")
+
+
+def _page(df: DataFrame, name: str):
+    return F.col(name).cast("long") if name in df.columns else F.lit(None).cast("long")
+
+
+def _read_well():
+    return F.coalesce(F.regexp_replace("error", r"[\s\x{A0}\x{3000}]+", ""), F.lit("")) == ""
+
+
 def texts(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
-    """(table_name, row_id, field_name, text, corrected): records.han_raw, records.meaning and ocr_results.text, the latter without rows whose error is not blank."""
+    """(table_name, row_id, field_name, text, corrected, work): records.han_raw, records.meaning and ocr_results.text, the latter without rows whose error is not blank."""
     none = F.lit(None).cast("string")
     pair = F.explode(F.array(F.struct(F.lit("han_raw").alias("field_name"), F.col("han_raw").alias("text"), F.nullif(F.col("han"), F.lit("")).alias("corrected")), F.struct(F.lit("meaning").alias("field_name"), F.col("meaning").alias("text"), none.alias("corrected"))))
-    a = records.select(F.lit("records").alias("table_name"), "row_id", pair.alias("x")).select("table_name", "row_id", "x.*")
-    ok = F.coalesce(F.regexp_replace("error", r"[\s\x{A0}\x{3000}]+", ""), F.lit("")) == ""
-    b = ocr_results.where(ok).select(F.lit("ocr_results").alias("table_name"), "row_id", F.lit("text").alias("field_name"), "text", none.alias("corrected"))
+    a = records.select(F.lit("records").alias("table_name"), "row_id", pair.alias("x"), _work(records, "source_doc").alias("work")).select("table_name", "row_id", "x.*", "work")
+    b = ocr_results.where(_read_well()).select(F.lit("ocr_results").alias("table_name"), "row_id", F.lit("text").alias("field_name"), "text", none.alias("corrected"), _work(ocr_results, "doc_id").alias("work"))
     return a.unionByName(b).where("text <> ''")
 
 
+def work_headers(counted: DataFrame) -> DataFrame:
+    """(a, work, n): shapes that are running headers of a work, by that work's own pages and texts."""
+    n = counted.where("kind = 't'").select(F.col("b").alias("work"), F.col("n").alias("texts"))
+    at = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")))
+    x = counted.where("kind in ('e', 'a')").groupBy("a", F.col("b").alias("work")).agg(at("e").alias("n"), at("a").alias("anywhere"), F.max(F.bit_count("pages")).alias("pages"))
+    x = x.where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= AT_EDGE * F.col("anywhere")))
+    return x.join(n, "work").where(F.col("n") >= WORK_SHARE * F.col("texts")).select("a", "work", "n")
+
+
 def fit(records: DataFrame, ocr_results: DataFrame):
-    """The channel's counts over all rows, as a broadcast: at most 1 / PAIR_SHARE pairs and tokens each, the confusions of Han
-    characters, and 2 / SHAPE_SHARE header shapes. Where there are more pairs or tokens, those under PAIR_SHARE go to a file."""
-    ok = F.coalesce(F.regexp_replace("error", r"[\s\x{A0}\x{3000}]+", ""), F.lit("")) == ""
-    rows = records.select("han", F.col("meaning").alias("shown"), F.when(F.col("han_raw") != F.col("han"), F.col("han_raw")).alias("read")).unionByName(ocr_results.where(ok).select(F.lit(None).cast("string").alias("han"), F.col("text").alias("shown"), F.lit(None).cast("string").alias("read")))
+    """(broadcast of the channel's counts over all rows, headers of single works). The broadcast has at most 1 / PAIR_SHARE pairs and
+    tokens each, the confusions of Han characters, and 1 / SHAPE_SHARE header shapes. Where there are more pairs or tokens, those under
+    PAIR_SHARE go to a file. Headers of single works, (work, own), are a table; None where there are none."""
+    none = F.lit(None).cast("string")
+    a = records.select("han", F.col("meaning").alias("shown"), F.when(F.col("han_raw") != F.col("han"), F.col("han_raw")).alias("read"), _work(records, "source_doc").alias("work"), _page(records, "page").alias("page"))
+    b = ocr_results.where(_read_well()).select(none.alias("han"), F.col("text").alias("shown"), none.alias("read"), _work(ocr_results, "doc_id").alias("work"), _page(ocr_results, "page_no").alias("page"))
     from vellum.tables import written
 
-    counted = written(count(rows), "scan-counts")
+    counted = written(count(a.unionByName(b)), "scan-counts")
     # every token follows one other
-    counted = counted.unionByName(counted.where("kind = 'p'").groupBy("b").agg(F.sum("n").alias("n")).select(F.lit("w").alias("kind"), F.col("b").alias("a"), F.lit("").alias("b"), "n"))
+    words_ = counted.where("kind = 'p'").groupBy("b").agg(F.sum("n").alias("n")).select(F.lit("w").alias("kind"), F.col("b").alias("a"), F.lit("").alias("b"), "n", F.lit(0).cast("long").alias("pages"))
+    all_words = counted.where("kind in ('p', 'c')").unionByName(words_)
     sums = counted.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()
     all_ = {r[0]: r[1] for r in sums}
-    least = lambda kind, share: max(1.0, all_.get(kind, 0) * share)
-    whole = all(r[2] <= 1 / PAIR_SHARE for r in sums if r[0] in "pw")
+    whole = all(r[2] <= 1 / PAIR_SHARE for r in sums if r[0] == "p")
     word = F.col("kind").isin("p", "w")
     often = F.lit(True)
     if not whole:  # as many tokens as pairs; what the channel picks from all of them is never rare
-        numbers = counted.where("kind = 'w' and a = '0'").agg(F.sum("n")).collect()[0][0] or 0
-        often = (F.col("n") >= least("p", PAIR_SHARE)) | ((F.col("kind") == "w") & (F.col("n") >= max(3, COMMON * all_["p"]))) | ((F.col("kind") == "p") & (F.col("a") == "0") & (F.col("n") > UNIT * numbers))
-    some = counted.where((word & often) | (F.col("kind") == "c") | (F.col("kind").isin("e", "a") & (F.col("n") >= max(LEAST_SHAPES, AT_EDGE * least("t", SHAPE_SHARE))))).collect()
-    rare = None if whole else rare_file(counted.where(word & ~often))
+        numbers = words_.where("a = '0'").agg(F.sum("n")).collect()[0][0] or 0
+        often = (F.col("n") >= all_["p"] * PAIR_SHARE) | ((F.col("kind") == "w") & (F.col("n") >= max(3, COMMON * all_["p"]))) | ((F.col("kind") == "p") & (F.col("a") == "0") & (F.col("n") > UNIT * numbers))
+    some = all_words.where((word & often) | (F.col("kind") == "c")).collect()
+    rare = None if whole else rare_file(all_words.where(word & ~often))
     pairs = {(r.a, r.b): r.n for r in some if r.kind == "p"}
     words = {r.a: r.n for r in some if r.kind == "w"}
     confused = {(r.a, r.b): r.n for r in some if r.kind == "c"}
-    anywhere = {r.a: r.n for r in some if r.kind == "a"}
-    need = max(LEAST_SHAPES, all_.get("t", 0) * SHAPE_SHARE)
-    headers = [r.a for r in some if r.kind == "e" and r.n >= need and r.n >= AT_EDGE * anywhere.get(r.a, 0)]
-    return records.sparkSession.sparkContext.broadcast((pairs, words, all_.get("p", 0), confused, headers, rare))
+    found = written(work_headers(counted), "work-headers")
+    everywhere = found.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= SHAPE_SHARE * all_.get("t", 0)).select("a")  # 1 / SHAPE_SHARE at most
+    headers = sorted(r.a for r in everywhere.collect())
+    own = found.where(~F.col("a").isin(headers)) if headers else found
+    own = own.groupBy("work").agg(F.sort_array(F.collect_list("a")).alias("own"))  # fewer than the work has pages
+    return records.sparkSession.sparkContext.broadcast((pairs, words, all_.get("p", 0), confused, headers, rare)), None if own.isEmpty() else written(own, "own-headers")
 
 
 FIELDS = (("records", "han_raw"), ("records", "meaning"), ("ocr_results", "text"))
 
 
-def _run(shared, df: DataFrame, join: bool, schema: str, make) -> DataFrame:
+def _run(fitted, df: DataFrame, join: bool, schema: str, make) -> DataFrame:
+    shared, own = fitted
+
     def run(batches):
-        gc.disable()  # tables of millions of small objects and no cycles
-        channel = Channel(*shared.value)
-        for b in batches:
-            rows, seen = [], {}  # an answer given twice is read once
-            for what, row, text, corrected in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if what == 0:
-                    got = channel.repair(text, corrected, join)
-                elif (got := seen.get(text)) is None:
-                    got = seen[text] = channel.repair(text, None, join)
-                rows += make(*FIELDS[what], row, *got)
-            names = schema_names
-            cols = list(map(list, zip(*rows))) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-    schema_names = [x.strip().split()[0] for x in schema.split(",")]
+        channel = codes.once(shared, Channel)
+        with uncollected():
+            for b in batches:
+                rows, seen = [], {}  # an answer given twice is read once
+                for what, row, text, corrected, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+                    own = tuple(own or ())
+                    if what == 0:
+                        got = channel.repair(text, corrected, join, own)
+                    elif (got := seen.get((text, own))) is None:
+                        got = seen[text, own] = channel.repair(text, None, join, own)
+                    rows += make(*FIELDS[what], row, *got)
+                cols = list(map(list, zip(*rows))) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    names = [x.strip().split()[0] for x in schema.split(",")]
     types = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.strip().split()[1]] for x in schema.split(",")]
+    if own is None:
+        df = df.withColumn("own", F.lit(None).cast("array<string>"))
+    else:
+        df = df.join(F.broadcast(own) if own.count() <= BROADCAST_WORKS else own, "work", "left")
     what = F.when(F.col("field_name") == "han_raw", 0).when(F.col("field_name") == "meaning", 1).otherwise(2)
-    return df.select(what.alias("what"), "row_id", "text", "corrected").mapInArrow(run, schema)
+    return df.select(what.alias("what"), "row_id", "text", "corrected", "own").mapInArrow(run, schema)
 
 
 def noise(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
@@ -613,7 +718,7 @@ def noise(records: DataFrame, ocr_results: DataFrame) -> DataFrame:
     def make(table, field, row, noise, text):
         return [(table, row, field, line, kind) for line, kind in set(noise)]
 
-    # one line that a reader left as it was has nothing to tell
+    # one line that a reader left as it was is seen alike twice: no candidate can win
     x = texts(records, ocr_results).where(~F.coalesce((F.col("text") == F.col("corrected")) & ~F.col("text").contains("\n"), F.lit(False)))
     found = _run(shared, x, False, "table_name string, row_id long, field_name string, line_no int, noise string", make)
     return found.distinct()

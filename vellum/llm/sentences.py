@@ -29,6 +29,10 @@ ABBREVIATIONS = "T|tr|q|no|nos|cf|x|p|pp|vol|fol|ff|ch|art|Dr|Mr|Mrs|Ms|St|M|MM|
 DOT, QUOTED, NOTED, END = "", "", "", ""
 
 
+#: Parts of a text that are folded in one step.
+BLOCK = 256
+
+
 def _loose(word: str) -> str:
     """The pattern of a word with unseen characters allowed between its characters."""
     head = word.split("(")[0]
@@ -116,16 +120,26 @@ def units(text: Column) -> Column:
 
     Null, empty and blank texts have no units (an empty array). The last unit ends with the text's last character that is no blank.
     """
-    parts = F.split(marked(text), END)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,last:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,last:int>>")
+
+    def spans(parts: Column, at: Column) -> Column:
+        """The units of parts that begin at ``at``."""
+
+        def step(a: Column, p: Column) -> Column:
+            right = F.length(F.regexp_replace(p, r"[\s\x{3000}]+$", ""))
+            left = F.length(p) - F.length(F.regexp_replace(p, r"^[\s\x{3000}]+", ""))
+            one = F.struct((a["at"] + left).cast("int").alias("start"), (a["at"] + right - 1).cast("int").alias("last"))
+            return F.struct((a["at"] + F.length(p)).alias("at"), F.when(right > 0, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(parts, F.struct(at.cast("int").alias("at"), none.alias("out")), step, lambda a: a["out"])
 
-    def step(a: Column, p: Column) -> Column:
-        right = F.length(F.regexp_replace(p, r"[\s\x{3000}]+$", ""))
-        left = F.length(p) - F.length(F.regexp_replace(p, r"^[\s\x{3000}]+", ""))
-        one = F.struct((a["at"] + left).cast("int").alias("start"), (a["at"] + right - 1).cast("int").alias("last"))
-        return F.struct((a["at"] + F.length(p)).alias("at"), F.when(right > 0, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+    def blocks(parts: Column) -> Column:
+        """The same by blocks of BLOCK parts, so that the work does not grow with the square of the parts."""
+        ats = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), F.array(F.lit(0)), lambda a, k: F.concat(a, F.array((F.element_at(a, -1) + F.length(F.array_join(F.slice(parts, k * BLOCK + 1, F.lit(BLOCK)), ""))).cast("int"))))
+        return F.flatten(F.transform(F.slice(ats, F.lit(1), F.size(ats) - 1), lambda at, k: spans(F.slice(parts, k * BLOCK + 1, F.lit(BLOCK)), at)))
 
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, zero["out"]).otherwise(F.aggregate(parts, zero, step, lambda a: a["out"]))
+    made = let(F.split(marked(text), END), lambda parts: F.when(F.size(parts) <= BLOCK, spans(parts, F.lit(0))).otherwise(blocks(parts)))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(made)
 
 
 def sentences(df: DataFrame, text: str, *keep: str) -> DataFrame:
