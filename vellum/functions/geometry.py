@@ -28,13 +28,25 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (w <= 0) | (h <= 0), 0.0).otherwise(w * h / (area(a) + area(b) - w * h))
 
 
+def round_tenth(v: Column) -> Column:
+    """A double to one place as its exact value says, ties to even: what is above a tie by less than a product shows still rounds up."""
+    a, b = v * 8, v * 2  # exact, and their sum's error is too
+    s = a + b
+    part = s - a
+    rest = (a - (s - part)) + (b - part)
+    low = F.floor(s)
+    tie = s - low == 0.5
+    n = F.when(tie & (rest > 0), low + 1).when(tie & (rest < 0), low).otherwise(F.rint(s))
+    return n.cast("double") / 10
+
+
 def to_pixels(normal: Column, width: Column, height: Column) -> Column:
     """[ymin, xmin, ymax, xmax] in thousandths as [x0, y0, x1, y1] in pixels, clamped, to one place; [] if it has no area."""
     at = lambda i: F.try_element_at(normal, F.lit(i))
     cut = lambda v, top: F.greatest(F.lit(0.0), F.least(v, top))
     x0, x1 = (cut(F.least(at(2), at(4)) / 1000 * width, width), cut(F.greatest(at(2), at(4)) / 1000 * width, width))
     y0, y1 = (cut(F.least(at(1), at(3)) / 1000 * height, height), cut(F.greatest(at(1), at(3)) / 1000 * height, height))
-    r = lambda v: F.bround(v, 1)
+    r = round_tenth
     return F.when((F.size(normal) == 4) & (x1 > x0) & (y1 > y0), F.array(r(x0), r(y0), r(x1), r(y1))).otherwise(F.array().cast("array<double>"))
 
 
@@ -54,6 +66,12 @@ def cropped(bbox: Column, width: Column, height: Column) -> Column:
     return F.when((x1 > x0) & (y1 > y0), F.array(x0, y0, x1, y1))
 
 
+def mean_confidence(values: Column) -> Column:
+    """The mean of the confidences that are there; 0 where there are none."""
+    known = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known)).otherwise(0.0)
+
+
 def upper_median(values: Column) -> Column:
     """The element at half the length of the sorted values."""
     return F.try_element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)

@@ -98,6 +98,20 @@ def fix_page(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, r"\R"), fix_phrases), lambda x: x != ""), "\n")
 
 
+def fix_blocks(blocks: Column) -> Column:
+    """Blocks with ``fix_phrases`` for those of the Latin pass or in Latin letters."""
+    source = lambda b: F.lower(F.coalesce(b["source"], F.lit("")))
+    text = lambda b: F.coalesce(b["text"], F.lit(""))
+    return F.transform(blocks, lambda b: b.withField("text", F.when((source(b) == "latin") | looks_latin(text(b)), fix_phrases(text(b))).otherwise(text(b))))
+
+
+def fix_text_or_blocks(text: Column, blocks: Column) -> Column:
+    """``fix_page``; where nothing is left of the text, the texts of the fixed blocks that are not blank, a line each."""
+    lines = F.filter(F.transform(fix_blocks(blocks), lambda b: b["text"]), lambda t: strip(t) != "")
+    fixed = fix_page(F.coalesce(text, F.lit("")))
+    return F.when(strip(fixed) != "", fixed).otherwise(F.coalesce(F.array_join(lines, "\n"), F.lit("")))
+
+
 def label_of(c: Column) -> Column:
     """The field that a line's label names, or null."""
     out = None
@@ -126,11 +140,11 @@ def kind_of_entry(c: Column) -> Column:
 def entry_number(lines: Column, hint: Column) -> Column:
     """A given number; else the first 1 to 4 digits before Loại in the first line that has it, null if that names a folio;
     where no line has it, the number right before Loại: in all lines together."""
-    with_kind = F.filter(lines, lambda x: x.rlike("(?iuU)Lo[aạáàảãăắằ]i"))
-    before = F.regexp_extract(F.try_element_at(with_kind, F.lit(1)), "(?iuUs)^(.*?)Lo[aạáàảãăắằ]i", 1)
+    with_kind = F.filter(lines, lambda x: x.rlike("Lo[aạáàảãăắằ]i"))
+    before = F.regexp_extract(F.try_element_at(with_kind, F.lit(1)), "(?s)^(.*?)Lo[aạáàảãăắằ]i", 1)
     number = F.nullif(F.regexp_extract(before, r"(\d{1,4})", 1), F.lit("")).try_cast("int")
     whole = F.nullif(F.regexp_extract(F.array_join(lines, " "), NUMBER_KIND, 1), F.lit("")).try_cast("int")
-    return F.coalesce(hint, F.when(F.size(with_kind) > 0, F.when(~before.rlike(r"(?iuU)Tờ|Tập|/\s*\d"), number)).otherwise(whole))
+    return F.coalesce(hint, F.when(F.size(with_kind) > 0, F.when(~before.rlike(r"(?U)Tờ|Tập|/\s*\d"), number)).otherwise(whole))
 
 
 def is_garbage(c: Column) -> Column:
@@ -151,6 +165,35 @@ def is_vietnamese_word(c: Column) -> Column:
     return (F.length(letters) >= 2) & F.lower(letters).rlike(f"[{VOWELS}]")
 
 
+def kind_of_input(path: Column) -> Column:
+    """pdf or image by the ending of a file's name; null where it is neither."""
+    end = F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(?<=.)(\.[^.]*)$", 1))
+    return F.when(end == ".pdf", "pdf").when(end.isin(".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"), "image")
+
+
+def is_three_block(source: Column) -> Column:
+    """Whether a source's name asks for pages of three bands."""
+    low = F.lower(F.coalesce(source, F.lit("")))
+    return low.contains("uctrai") | low.contains("ức trai") | low.contains("uc trai")
+
+
+def page_targets(pages: Column, targets: Column) -> Column:
+    """A map from pages (a list like 3,1; sorted and once each) to their targets, by place; null where no targets are given; an error where
+    there are not as many."""
+    numbers = lambda c: F.transform(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast("int"))
+    a, b = F.array_sort(F.array_distinct(numbers(pages))), numbers(F.coalesce(targets, F.lit("")))
+    return F.when(F.size(b) > 0, F.when(F.size(a) == F.size(b), F.map_from_arrays(a, b)).otherwise(F.raise_error(F.lit("pages and targets differ in number")).cast("map<int,int>")))
+
+
+def truthy(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("1", "true", "yes", "on")
+
+
+def refinable(enabled: bool, error: Column, page: Column, most: int = 10) -> Column:
+    """Whether a page's text goes to the refiner: an early page that was read without an error."""
+    return F.lit(enabled) & (F.coalesce(error, F.lit("")) == "") & (page <= most)
+
+
 def has_fingerprint(c: Column) -> Column:
     """Whether at least two entries of the list of labels occur, without regard to case."""
     return F.size(F.filter(F.array(*map(F.lit, FINGERPRINT)), lambda k: F.lower(c).contains(F.lower(k)))) >= 2

@@ -81,12 +81,12 @@ def aligned(df: DataFrame, a: str, b: str, id_: str) -> DataFrame:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token lists: each distinct token becomes one private-use character, then the built-in function
-    compares. Up to 6,400 distinct tokens a row."""
+    """Levenshtein distance of two token lists: each distinct token becomes one character, then the built-in function compares. The
+    characters are those from U+10000 on, so a row may have a million distinct tokens."""
     vocabulary = F.array_distinct(F.concat(a, b))
 
     def coded(c: Column, v: Column) -> Column:
-        return F.array_join(F.transform(c, lambda t: F.decode(F.unhex(F.hex(F.lit(57343) + F.array_position(v, t))), "UTF-16BE")), "")
+        return F.array_join(F.transform(c, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(65535) + F.array_position(v, t)), 8, "0")), "UTF-32")), "")
 
     return F.element_at(F.transform(F.array(vocabulary), lambda v: F.levenshtein(coded(a, v), coded(b, v))), 1)
 

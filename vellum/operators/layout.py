@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 
-KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+BOX = ("x0", "y0", "x1", "y1")
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
 def by_page(df: DataFrame, columns_: list[str], run: Callable[[str, list[dict]], list[tuple]], schema: str) -> DataFrame:
@@ -67,7 +68,7 @@ def columns(boxes: DataFrame, alpha: float = 0.5, least: int = 1, merge: bool =
                 out.append((key, rows[i]["ord"], column, len(out), centre))
         return out
 
-    return by_page(boxes.where("cx is not null and cy is not null"), ["ord", "cx", "cy", "w"], run, "page_key string, ord int, column_id int, reading_idx int, x_center double")
+    return by_page(boxes.where("cx is not null and cy is not null"), ["ord", "cx", "cy", "w"], run, "page_key string, ord long, column_id int, reading_idx int, x_center double")
 
 
 def lines(spans: DataFrame) -> DataFrame:
@@ -123,7 +124,8 @@ def entries(page_lines: DataFrame) -> DataFrame:
     x = x.withColumn("start", start.cast("int")).withColumn("entry", F.sum("start").over(page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     hint = F.when((F.col("dated") == 0) & (F.col("start") == 1), F.regexp_extract("first", T.ENTRY_NUMBER, 1).try_cast("int"))
     rest = F.when(hint.isNotNull(), T.strip(F.regexp_replace("text", r"^\s*\d{1,4}\.?\s*", ""))).otherwise(F.col("text"))
-    return x.where("entry > 0").select("page_key", "entry", "line_no", rest.alias("text"), hint.alias("hint"), "y0", "y1")
+    below = F.when(T.strip(F.col("text")).startswith("TRÍCH"), F.col("y1"))
+    return x.where("entry > 0").select("page_key", "entry", "line_no", rest.alias("text"), hint.alias("hint"), "y0", "y1", below.alias("heading_y1"))
 
 
 def entry_fields(lines_: DataFrame, *keys: str) -> DataFrame:
@@ -217,7 +219,7 @@ def matched(candidates: DataFrame) -> DataFrame:
                 out.append((key, r["a_ord"], r["b_ord"], r["iou"]))
         return out
 
-    return by_page(candidates, ["a_ord", "b_ord", "iou"], run, "page_key string, a_ord int, b_ord int, iou double")
+    return by_page(candidates, ["a_ord", "b_ord", "iou"], run, "page_key string, a_ord long, b_ord long, iou double")
 
 
 def unmatched(b: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -226,18 +228,20 @@ def unmatched(b: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def merged_passes(ch: DataFrame, latin: DataFrame) -> DataFrame:
-    """(page_key, text, conf, x0, y0, origin): Han and Latin passes over the same pages merged block by block."""
+    """(page_key, ord, text, conf, x0, y0, x1, y1, origin): Han and Latin passes over the same pages merged block by block; ord counts a page's
+    blocks from top to bottom, then from the left; a block without a box stands at the top left."""
     from vellum.functions.geometry import script_choice
 
     c = overlaps(ch, latin)
     m = matched(c).select("page_key", F.col("a_ord").alias("ord"), "b_ord")
-    l2 = latin.select("page_key", F.col("ord").alias("b_ord"), F.col("text").alias("l_text"), F.col("conf").alias("l_conf"), F.col("x0").alias("l_x0"), F.col("y0").alias("l_y0"))
+    l2 = latin.select("page_key", F.col("ord").alias("b_ord"), F.col("text").alias("l_text"), F.col("conf").alias("l_conf"), *(F.col(n).alias(f"l_{n}") for n in BOX))
     j = ch.join(m, ["page_key", "ord"], "left").join(l2, ["page_key", "b_ord"], "left")
     a, b = T.script_ratios(F.col("text")), T.script_ratios(F.coalesce("l_text", F.lit("")))
     pick = script_choice(a["cjk"], a["latin"], F.coalesce("conf", F.lit(0.0)), b["cjk"], b["latin"], F.col("l_conf"))
-    kept = j.withColumn("origin", pick).select("page_key", *(F.when(F.col("origin") == "latin", F.col(f"l_{n}")).otherwise(F.col(n)).alias(n) for n in ("text", "conf", "x0", "y0")), "origin")
-    rest = unmatched(latin, c).select("page_key", "text", "conf", "x0", "y0", F.lit("latin").alias("origin"))
-    return kept.unionByName(rest)
+    kept = j.withColumn("origin", pick).select("page_key", *(F.when(F.col("origin") == "latin", F.col(f"l_{n}")).otherwise(F.col(n)).alias(n) for n in ("text", "conf", *BOX)), "origin")
+    rest = unmatched(latin, c).select("page_key", "text", "conf", *BOX, F.lit("latin").alias("origin"))
+    order = Window.partitionBy("page_key").orderBy(F.coalesce("y0", F.lit(0.0)), F.coalesce("x0", F.lit(0.0)), "origin", "text")
+    return kept.unionByName(rest).withColumn("ord", F.row_number().over(order).cast("long")).select("page_key", "ord", "text", "conf", *BOX, "origin")
 
 
 def page_text(items: DataFrame) -> DataFrame:
@@ -266,9 +270,19 @@ def page_text(items: DataFrame) -> DataFrame:
             for p, q in zip(g, g[1:]):
                 made += (" " if q["x0"] - p["x1"] > 0.35 * p["h"] else "") + q["text"]
             out.append((at, len(out), made))
+        upright.sort(key=lambda r: ((r["x0"] + r["x1"]) / 2, r["y0"]))
+        near = max(0.75 * sorted(r["x1"] - r["x0"] for r in upright)[len(upright) // 2], 24.0) if upright else 0.0
+        standing: list[list] = []  # columns by running mean, from the left
         for r in upright:
-            out.append((r["cy"], len(out), r["text"]))
+            cx = (r["x0"] + r["x1"]) / 2
+            if standing and abs(cx - sum((q["x0"] + q["x1"]) / 2 for q in standing[-1]) / len(standing[-1])) <= near:
+                standing[-1].append(r)
+            else:
+                standing.append([r])
+        for g in standing:
+            for r in sorted(g, key=lambda q: q["y0"]):
+                out.append((r["cy"], len(out), r["text"]))
         out.sort(key=lambda v: v[:2])
         return [(key, "\n".join(t for _, _, t in out if t))]
 
-    return by_page(x, ["ord", "text", "x0", "x1", "h", "cy", "vertical"], run, "page_key string, text string")
+    return by_page(x, ["ord", "text", "x0", "y0", "x1", "h", "cy", "vertical"], run, "page_key string, text string")

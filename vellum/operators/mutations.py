@@ -5,7 +5,7 @@ Plain Parquet has no update, so a caller writes the result to a new place and sw
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDITABLE = ("han", "phonetic", "meaning")
@@ -37,8 +37,18 @@ def replace_page(existing: DataFrame, new: DataFrame, job: int, page: int) -> Da
     return existing.where(~F.coalesce(gone, F.lit(False))).unionByName(new)
 
 
-def update_rows(existing: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the values of ``edits`` that are not null; edits hold a row for each key."""
+def insert_counts(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row, (inserted, known): how many keys of ``new`` an insert adds and how many it finds."""
+    n = new.select(*keys).distinct().join(existing.select(*keys, F.lit(1).alias("_there")).distinct(), keys, "left")
+    return n.agg(F.count_if(F.col("_there").isNull()).alias("inserted"), F.count("_there").alias("known"))
+
+
+def update_rows(existing: DataFrame, edits: DataFrame, keys: list[str], nulls: bool = False) -> DataFrame:
+    """Rows with the values of ``edits`` that are not null, or with ``nulls`` all values; edits hold a row for each key."""
+    if nulls:
+        set_ = [c for c in edits.columns if c not in keys]
+        j = existing.join(edits.select(*keys, F.lit(True).alias("_set"), *(F.col(c).alias(f"_e_{c}") for c in set_)), keys, "left")
+        return j.select(*(F.when(F.col("_set"), F.col(f"_e_{c}")).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in existing.columns))
     names = [c for c in edits.columns if c not in keys]
     j = existing.join(edits.select(*keys, *(F.col(c).alias(f"_e_{c}") for c in names)), keys, "left")
     return j.select(*(F.coalesce(f"_e_{c}", c).alias(c) if c in names else F.col(c) for c in existing.columns))
@@ -99,3 +109,53 @@ def merged_meta(meta: Column, edit_: Column, names: tuple[str, ...] = ("ngay", "
 def bounded(assignments: DataFrame) -> DataFrame:
     """Assignments with their page bounds in order."""
     return assignments.withColumns({"page_start": F.least("page_start", "page_end"), "page_end": F.greatest("page_start", "page_end")})
+
+
+def resolve_links(records: DataFrame, links: DataFrame) -> DataFrame:
+    """(job_id, human_id, part_of, problem) of links (job_id, human_id, part_of): the entry each tail continues.
+
+    A given head that continues an entry itself stands for that entry, one level up; where none is given it is the entry before the tail in
+    reading order. problem names what makes a link void: no record, no head, no entry before, or itself; part_of is null then.
+    """
+    from vellum.operators.corpus import previous_entry
+
+    named = F.nullif(F.col("part_of"), F.lit(""))
+    before = records.select("row_id", "job_id", "human_id").join(previous_entry(records), "row_id").select("job_id", "human_id", "previous", F.lit(True).alias("_known"))
+    heads = records.select("job_id", F.col("human_id").alias("_named"), F.coalesce(F.nullif(F.col("part_of"), F.lit("")), "human_id").alias("_head"))
+    j = links.select("job_id", "human_id", named.alias("_named")).join(before, ["job_id", "human_id"], "left").join(heads, ["job_id", "_named"], "left")
+    head = F.when(F.col("_named").isNull(), F.col("previous")).otherwise(F.col("_head"))
+    problem = F.when(F.col("_known").isNull(), "no record").when(F.col("_named").isNotNull() & F.col("_head").isNull(), "no head").when(head.isNull(), "no entry before").when(head == F.col("human_id"), "itself")
+    return j.select("job_id", "human_id", F.when(problem.isNull(), head).alias("part_of"), problem.alias("problem"))
+
+
+def new_records(records: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Records for boxes (job_id, page, box_no, han, meaning, han_bbox, meaning_bbox, image_path) that a user drew.
+
+    A record's id is the work's prefix with the page and the next free line; boxes of a page take lines in the order of box_no. The
+    image is the given one, else the page's, else the job's; the meaning's box is the Han box where it is not given.
+    """
+    from vellum.operators.corpus import next_line, page_images, work_prefix
+
+    docs = records.groupBy("job_id").agg(F.min_by("source_doc", "row_id").alias("source_doc"), F.min_by("image_path", F.when(F.col("image_path").isNotNull(), F.col("row_id"))).alias("_any"))
+    j = boxes.join(work_prefix(records), "job_id", "left").join(next_line(records), ["job_id", "page"], "left").join(page_images(records).withColumnRenamed("image", "_own"), ["job_id", "page"], "left").join(docs, "job_id", "left")
+    at = F.row_number().over(Window.partitionBy("job_id", "page").orderBy("box_no"))
+    line = (F.coalesce("next_line", F.lit(1)) + at - 1).cast("int")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return j.select(
+        F.format_string("%s.%03d.%02d", F.coalesce("prefix", F.lit("HVB_001")), "page", line).alias("human_id"), "job_id", text("source_doc").alias("source_doc"), "page", line.alias("line_no"), text("han").alias("han"), text("han").alias("han_raw"),
+        text("meaning").alias("meaning"), F.lit("two_column").alias("layout_type"), F.coalesce(F.nullif(F.col("image_path"), F.lit("")), "_own", "_any", F.lit("")).alias("image_path"), F.lit("pending").alias("review_status"), "han_bbox", F.coalesce("meaning_bbox", "han_bbox").alias("meaning_bbox"),
+    )
+
+
+def followed(states: DataFrame, polls: DataFrame) -> DataFrame:
+    """(id, state, applied_at) of batches (id, state) after polls (id, at, state) of a service.
+
+    The first poll that succeeded applies the batch, once; nothing that comes later changes it, so polls may repeat. Else the last poll
+    counts: failed, cancelled and expired end a batch, an unknown state is running. A batch without polls stays as it is.
+    """
+    ended = F.min(F.when(F.col("state") == "succeeded", F.col("at")))
+    last = F.max_by("state", F.struct("at", "state"))
+    p = polls.groupBy("id").agg(ended.alias("applied_at"), last.alias("last"))
+    j = states.select("id", F.col("state").alias("before")).join(p, "id", "left")
+    now = F.when((F.col("before") == "applied") | F.col("applied_at").isNotNull(), "applied").when(F.col("last") == "unknown", "running").otherwise(F.coalesce("last", "before"))
+    return j.select("id", now.alias("state"), F.when(F.col("before") != "applied", F.col("applied_at")).alias("applied_at"))

@@ -24,8 +24,8 @@ def validated(s, d):
 
 
 def sequence(s, d):
-    """Readings aligned to words by edit script, then judged."""
-    return A.aligned(rows(s, d).where("size(qn_words) > 0"), "sn_chars", "qn_words", "row_id")
+    """Readings aligned to words by edit script, then judged; a column without words has gaps only."""
+    return A.aligned(rows(s, d), "sn_chars", "qn_words", "row_id")
 
 
 def words(s, d):
@@ -59,7 +59,18 @@ V = f"""(select row_id, pos, p.sn, p.qn, coalesce(p.sn, '') in ('', '∅') or co
   [x for x in coalesce(s, [p.sn]) if list_contains(coalesce(c, []), x)] g from {P} p left join {S1} a on p.sn = a.sn left join {S2} b on lower(trim(p.qn)) = b.k)"""
 W = f"(select row_id, pos, sn, qn, case when gap then 'RED' when black then 'BLACK' when len(g) > 0 then 'GREEN' else 'RED' end verdict, case when not gap and not black and len(g) > 0 then g[1] end correction from {V})"
 
+# A reading is never a Han character, so no tokens are equal: the script is diagonal from the end and what is left of the longer side comes first.
+N = f"(select row_id, coalesce([coalesce(x, '') for x in sn_chars], []) a, coalesce([coalesce(x, '') for x in qn_words], []) b from {R})"
+SEQ = f"""(select row_id, i pos, coalesce(nullif(case when i >= n - len(a) then a[i - (n - len(a)) + 1] end, ''), '∅') sn, coalesce(nullif(case when i >= n - len(b) then b[i - (n - len(b)) + 1] end, ''), '∅') qn, n distance, round(1 - n / greatest(n, 1), 6) score
+  from (select row_id, a, b, greatest(len(a), len(b))::int n, unnest(range(greatest(len(a), len(b))))::int i from {N}))"""
+SEQ_V = V.replace(P, SEQ)
+
 SQL = {
+    "sequence_alignment": f"select * from {SEQ}",
+    "sequence_verdicts": f"select verdict, count(*) n from (select case when gap then 'RED' when black then 'BLACK' when len(g) > 0 then 'GREEN' else 'RED' end verdict from {SEQ_V}) group by verdict",
+    "token_edit_distance": """with w as (select distinct han, reading, meaning, string_split(lower(reading), ' ') a, string_split(lower(meaning), ' ') b from glossary where reading is not null and meaning is not null),
+  k as (select *, list_distinct(list_concat(a, b)) v from w)
+  select han, reading, meaning, levenshtein(array_to_string([chr((32 + list_position(v, x))::int) for x in a], ''), array_to_string([chr((32 + list_position(v, x))::int) for x in b], ''))::int distance from k""",
     "pair_validation": f"select * from {W}",
     "verdict_histogram": f"select s status, count(verdict) n, round(count(verdict) / (select greatest(count(*), 1) from {W}), 6) share from (values ('BLACK'), ('GREEN'), ('RED')) v(s) left join {W} w on verdict = s group by s",
     "sentence_accuracy": f"select *, case when share >= 0.8 then 'Good' when share >= 0.5 then 'Partial' else 'Poor' end label from (select row_id, round(avg((verdict in ('BLACK', 'GREEN'))::int), 6) share from {W} group by row_id)",

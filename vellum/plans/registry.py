@@ -65,5 +65,39 @@ def translate(records: DataFrame, name: str) -> DataFrame:
     return x.withColumn("source_of", F.when(ok, F.col("source_of").withField("meaning", F.lit(name))).otherwise(F.col("source_of"))).withColumn("meaning", F.when(ok, F.col("_new")).otherwise(F.col("meaning"))).drop("_new")
 
 
+def retried(function: Callable, transient: tuple[str, ...] = ("429", "503", "timeout", "temporarily", "quota"), tries: int = 4, wait: float = 2.0, sleep: Callable[[float], None] | None = None) -> Callable:
+    """``function`` with further tries after errors whose text has a transient mark, after wait, 2 wait, 4 wait … seconds; other errors and the
+    last one are raised."""
+    import time
+
+    def run(*args):
+        for k in range(tries):
+            try:
+                return function(*args)
+            except Exception as e:  # noqa: BLE001 - raised again below
+                if k == tries - 1 or not any(t in str(e).lower() for t in transient):
+                    raise
+                (sleep or time.sleep)(wait * 2**k)
+
+    return run
+
+
+def guarded(result: Column, error: Column) -> tuple[Column, Column]:
+    """(text, error) of an answer: with an error there is no text, without one a null text is empty."""
+    failed = F.coalesce(F.trim(error), F.lit("")) != ""
+    return F.when(failed, "").otherwise(F.coalesce(result, F.lit(""))), F.when(failed, error)
+
+
+def hash_embedding(text: Column, size: int = 384) -> Column:
+    """A vector of hashed words of length 1 (0 without words): an embedder that needs no model, for tests and as a fallback."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("float"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)).cast("float"))
+
+
+EMBEDDERS.register("hash", hash_embedding)
+RECOGNISERS.register("blocks", lambda blocks: F.coalesce(blocks, F.array().cast("array<struct<text:string,confidence:double,box:array<array<double>>>>")))
 CORRECTORS.register("skip", lambda c: c)
 TRANSLATORS.register("skip", lambda c: F.lit(None).cast("string"))

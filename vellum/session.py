@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -38,6 +40,7 @@ def ship(spark: SparkSession) -> None:
     files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".py"))
     mark = hashlib.sha1(b"".join(f.encode() + open(f, "rb").read() for f in files)).hexdigest()[:16]
     folder = tempfile.mkdtemp(prefix=f"vellum-{mark}-")
+    atexit.register(shutil.rmtree, folder, True)
     with zipfile.ZipFile(path := os.path.join(folder, "vellum.zip"), "w") as z:
         for f in files:
             z.write(f, os.path.relpath(f, os.path.dirname(root)))

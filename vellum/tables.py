@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset it is a folder of this machine, on a local master only: a
+    cluster's executors do not share one, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = known.get() if known.isDefined() else f"file://{tempfile.gettempdir()}/vellum-{os.getuid()}"
     return folder.rstrip("/")
 
@@ -34,7 +38,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     application, and ``drop_written`` or the end of the cluster's retention removes them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vellum-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,6 +49,11 @@ def drop_written(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, among the tables of ``written``."""
+    return f"{shared_folder(spark)}/vellum-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+
+
 def latest_rows(df: DataFrame, key: str = "row_id") -> DataFrame:
     """One row for each ``key``: a repeated key is the same row delivered again. Null keys are kept as they are."""
     return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
