@@ -78,3 +78,7 @@ r as (select *, row_number() over (partition by query_id order by s desc, vec_id
 select query_id, vec_id, round(s, 6) score, rank::int rank from r where rank <= 10""",
     "label_centroids": "select label, i::int i, round(avg(v::double), 6) mean from (select label, unnest(range(len(embedding))) i, unnest(embedding) v from embeddings) group by all",
 }
+
+from vellum.plans.text import uuid5_sql  # noqa: E402
+
+SQL["chunk_ids"] = f"select {uuid5_sql("concat_ws('|', doc_id, model_name, page_no::varchar, 'block', block_index::varchar)")} point_id, doc_id, block_index from {BLK} where {ST % 'b.text'} <> ''"

@@ -113,7 +113,7 @@ li as (select page_key, row_number() over (partition by page_key order by y0, li
 
 ENTRIES = f"""d as (select *, max(regexp_matches(text, '{DATED}')::int) over (partition by page_key) dated from li),
 st as (select *, case when dated = 1 then regexp_matches(text, '{ANCHOR}') else regexp_matches(first, '^[0-9]{{1,4}}[.]?$') and not regexp_matches(text, '(?i)^[0-9]{{1,4}}{_B}+(tháng|năm|nhuận){WB}') end s from d),
-en as (select *, sum(s::int) over (partition by page_key order by line_no) entry, case when dated = 0 and s then regexp_extract(first, '^([0-9]{{1,4}})', 1)::int end hint from st),
+en as (select *, (sum(s::int) over (partition by page_key order by line_no))::bigint entry, case when dated = 0 and s then regexp_extract(first, '^([0-9]{{1,4}})', 1)::int end hint from st),
 e as (select page_key, entry, line_no, case when hint is not null then {strip(f"regexp_replace(text, '^{_B}*[0-9]{{1,4}}[.]?{_B}*', '')")} else text end text, hint, y0, y1, case when starts_with({strip("text")}, 'TRÍCH') then y1 end heading from en where entry > 0)"""
 
 from vellum.functions import text as T  # noqa: E402

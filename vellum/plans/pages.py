@@ -71,7 +71,6 @@ def wrapped(s, d):
 QUERIES = {
     "autoscan_records": lambda s, d: P.page_records(replies(s, d), "job_id").select("job_id", "page", "human_id", "line_no", "entry_no", "han", "meaning", F.round(c("han_bbox")[0], 1).alias("x0"), F.round(c("han_bbox")[1], 1).alias("y0"), c("entry_meta.loai").alias("loai"), "continues"),
     "autoscan_apply": lambda s, d: P.applied(cur(s, d), replies(s, d).where("page % 2 = 0")).select("row_id", "job_id", "human_id", "page", "line_no", "review_status"),
-    "autoscan_links": lambda s, d: P.applied(cur(s, d), replies(s, d).where("page % 2 = 0")).where("row_id is null and part_of is not null").groupBy("job_id").agg(F.count("*").alias("n")),
     "open_pages": lambda s, d: P.open_pages(replies(s, d), cur(s, d)).select("job_id", "page"),
     "numeric_keys": lambda s, d: P.numbered(load(s, d, "jobs").select("id", F.when(c("id") % 3 == 0, F.concat(F.lit("x"), c("id"))).otherwise(c("id").cast("string")).alias("key")).distinct()).select("id", "page"),
     "enhanced_replies": lambda s, d: wrapped(s, d).select("row_id", P.enhanced(c("reply")).alias("r")).select("row_id", "r.han", "r.meaning"),
@@ -194,3 +193,9 @@ SQL = {
     "box_tenths": """with v as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_extendedprice * l_discount) * 8 a, (l_extendedprice * l_discount) * 2 b from lineitem), s as (select *, a + b s from v), e as (select *, (a - (s - (s - a))) + (b - (s - a)) r, floor(s) f from s)
   select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when s - f = 0.5 and r > 0 then f + 1 when s - f = 0.5 and r < 0 then f else round_even(s, 0) end / 10 v from e""",
 }
+
+from vellum.plans.alignment import SEQ_V as _V  # noqa: E402
+
+# Layout and reference are columns of the same pages in the same order, so each column meets its own words.
+SQL["alignment_run"] = f"""with v as (select row_id, count(*) pairs, round(avg((not gap and (black or len(g) > 0))::int), 6) share from {_V} group by row_id)
+  select row_id, 'HVH_004.' || lpad(chapter::varchar, 3, '0') || '.' || lpad(page::varchar, 3, '0') || '.' || lpad((row_number() over (partition by chapter, page order by row_id))::varchar, 2, '0') sentence_id, pairs, share, pairs::int distance from {SRC} join v using (row_id)"""

@@ -141,3 +141,24 @@ SQL = {
     "upper_median": f"select source_doc, page, list_sort(list(y1 - y0))[len(list(y1 - y0)) // 2 + 1] h from {BOXES} group by all",
     "interpolated_median": f"select source_doc, page, round(quantile_cont(case when x1 > x0 then x1 - x0 end, 0.5), 6) w from {BOXES} group by all",
 }
+
+KIND = rf"(?i)Loại{B}*[:：]{B}*(.+?)(?:{B}+(?:Xuất|Xuấtxứ|Đề|Để|Tờ|TờI|Công|Ngày)(?:[^\p{{L}}\p{{N}}_]|$)|$)"
+BASE = "regexp_replace(list_last(string_split(source_pdf, '/')), '(.)\\.[^.]*$', '\\1')"
+#: The sum's error decides on ties, as in ``geometry.round_tenth``.
+TENTH = "(case when {0} * 8 + {0} * 2 - floor({0} * 8 + {0} * 2) = 0.5 and ({0} * 8 - (({0} * 8 + {0} * 2) - (({0} * 8 + {0} * 2) - {0} * 8))) + ({0} * 2 - (({0} * 8 + {0} * 2) - {0} * 8)) <> 0 then floor({0} * 8 + {0} * 2) + (({0} * 8 - (({0} * 8 + {0} * 2) - (({0} * 8 + {0} * 2) - {0} * 8))) + ({0} * 2 - (({0} * 8 + {0} * 2) - {0} * 8)) > 0)::int else round_even({0} * 8 + {0} * 2, 0) end / 10)"
+
+
+def uuid5_sql(name: str) -> str:
+    """The name-based UUID of a text."""
+    h = f"sha1(from_hex('{I.URL_NAMESPACE}') || encode({name}))"
+    return f"(select h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(ascii(h[17]) - case when h[17] >= 'a' then 87 else 48 end) % 4 + 1] || h[18:20] || '-' || h[21:32] from (select {h} h))"
+
+
+SQL |= {
+    "entry_lines": f"select row_id, \"at\", kind, number from (select row_id, \"at\", nullif(regexp_replace(regexp_extract(line, '{KIND}', 1), '^{B}+|{B}+$', '', 'g'), '') kind, try_cast(nullif(regexp_extract(line, '(?i)([0-9]{{1,4}}){B}+Loại{B}*[:：]', 1), '') as integer) number from {L}) where kind is not null",
+    "metadata_fix": f"select row_id, coalesce(string_agg(t, chr(10) order by \"at\") filter (where t <> ''), '') fixed from (select row_id, \"at\", trim(regexp_replace({FIX}, ' {{2,}}', ' ', 'g')) t from {L}) group by row_id",
+    "safe_stems": f"select row_id, coalesce(nullif(left(regexp_replace({BASE}, '[^A-Za-z0-9_.-]', '_', 'g'), 80), ''), 'page') stem, case when lower({BASE}) like '%chau%' or lower({BASE}) like '%châu%' then 'ChauBan' when lower({BASE}) like '%uctrai%' or lower({BASE}) like '%uc_trai%' then 'UcTraiTap' when {BASE} = '' then 'Unknown' else {BASE} end source from {O}",
+    "box_to_pixels": f"""select row_id, case when x1 > x0 and y1 > y0 then [{", ".join(TENTH.format(v) for v in ("x0", "y0", "x1", "y1"))}] else [] end px from (select row_id, greatest(0.0, least(least(bbox[2], bbox[4]) / 1000 * 1000, 1000.0)) x0, greatest(0.0, least(greatest(bbox[2], bbox[4]) / 1000 * 1000, 1000.0)) x1,
+  greatest(0.0, least(least(bbox[1], bbox[3]) / 1000 * 2000, 2000.0)) y0, greatest(0.0, least(greatest(bbox[1], bbox[3]) / 1000 * 2000, 2000.0)) y1 from {BOXES})""",
+    "point_ids": f"select row_id, {uuid5_sql("concat_ws('|', doc_id, model_name, page_no::varchar, 'page', 'page')")} point_id from {O}",
+}
