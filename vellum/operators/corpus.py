@@ -123,20 +123,41 @@ def reading_order(page: str = "page", line: str = "line_no", row: str = "row_id"
 
 
 def previous_entry(records: DataFrame) -> DataFrame:
-    """(row_id, previous): the entry before each row of its job in reading order, its head where it continues one."""
+    """(row_id, previous): the entry before each row of its job in reading order, its head where it continues one.
+
+    Rows are ordered within their page; what a page takes over from the pages before it is looked up among a row for each page, so a job
+    with most of the rows is not ordered by one task.
+    """
     x = _head_key(current_records(records))
-    return x.select("row_id", F.lag("head").over(Window.partitionBy("job_id").orderBy(*reading_order())).alias("previous"))
+    w, before = _by_page("head", x)
+    x = x.withColumn("_in", F.lag("head").over(w)).join(before, *_same_page(x, before), "left")
+    return x.select("row_id", F.coalesce("_in", "_carried").alias("previous"))
+
+
+def _by_page(value: str, x: DataFrame):
+    """(window of a page's rows in reading order, (job_id, page, value's last that is there on an earlier page, whether there is an earlier page))."""
+    w = Window.partitionBy("job_id", "page").orderBy(F.col("line_no").asc_nulls_last(), F.col("row_id").asc())
+    place = F.when(F.col(value).isNotNull(), F.struct(F.col("line_no").isNull().alias("a"), "line_no", "row_id"))
+    pages = x.groupBy("job_id", "page").agg(F.max_by(value, place).alias("_last"))
+    over = Window.partitionBy("job_id").orderBy(F.col("page").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return w, pages.select(F.col("job_id").alias("_job"), F.col("page").alias("_page"), F.last_value("_last", True).over(over).alias("_carried"), (F.count("*").over(over) > 0).alias("_later"))
+
+
+def _same_page(x: DataFrame, pages: DataFrame):
+    return (F.equal_null(x["job_id"], pages["_job"]) & F.equal_null(x["page"], pages["_page"]),)
 
 
 def linked(records: DataFrame, flagged: Column) -> DataFrame:
     """(row_id, link): flagged rows attached to the nearest head before them; a job's first row stays a head."""
     x = _head_key(current_records(records)).withColumn("flag", F.coalesce(flagged, F.lit(False)))
-    w = Window.partitionBy("job_id").orderBy(*reading_order())
-    x = x.withColumn("n", F.row_number().over(w))
-    own = F.when(F.col("flag") & (F.col("n") > 1), F.lit(None)).otherwise(F.col("head"))
-    x = x.withColumn("own", own)
-    before = F.last_value("own", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return x.select("row_id", F.when(F.col("flag") & (F.col("n") > 1), before).otherwise(F.nullif(F.col("part_of"), F.lit(""))).alias("link"))
+    w, pages = _by_page("head", x)
+    x = x.withColumn("n", F.row_number().over(w)).join(pages.select("_job", "_page", "_later"), *_same_page(x, pages), "left").drop("_job", "_page")
+    moved = F.col("flag") & (F.col("_later") | (F.col("n") > 1))
+    x = x.withColumn("own", F.when(~moved, F.col("head"))).withColumn("moved", moved)
+    w, before = _by_page("own", x)
+    x = x.withColumn("_in", F.last_value("own", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.join(before.select("_job", "_page", "_carried"), *_same_page(x, before), "left")
+    return x.select("row_id", F.when(F.col("moved"), F.coalesce("_in", "_carried")).otherwise(F.nullif(F.col("part_of"), F.lit(""))).alias("link"))
 
 
 def next_line(records: DataFrame) -> DataFrame:

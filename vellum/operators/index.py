@@ -58,14 +58,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec
             best: list[list] = [[] for _ in ids]
             for b in batches:
                 keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                if not len(rows) or not len(ids):
+                if not len(keys) or not len(ids):
                     continue
+                rows = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
                 rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
                 s = m @ rows.T
                 s[ids[:, None] == keys[None, :]] = -np.inf
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(ids), -np.inf)
                 for i in range(len(ids)):
-                    top = np.lexsort((keys, -s[i]))[:k]
+                    top = np.flatnonzero(s[i] >= least[i])  # with ties, which go by id
+                    top = top[np.lexsort((keys[top], -s[i, top]))][:k]
                     best[i] = sorted(best[i] + [(-s[i, j], int(keys[j])) for j in top if s[i, j] > -np.inf])[:k]
             rows = [(int(ids[i]), key, float(-s)) for i, x in enumerate(best) for s, key in x]
             cols = list(map(list, zip(*rows))) if rows else [[], [], []]

@@ -64,7 +64,7 @@ QUERIES = {
     "vietnamese_words": lambda s, d: det(s, d).select("row_id", T.is_vietnamese_word(c("text")).alias("word")),
     "fingerprint_pages": lambda s, d: ocr(s, d).where("text is not null").select("row_id", T.has_fingerprint(c("text")).alias("two_column")),
     "entry_lines": lambda s, d: lines(s, d).select("row_id", "at", T.kind_of_entry(c("line")).alias("kind"), F.regexp_extract("line", T.NUMBER_KIND, 1).try_cast("int").alias("number")).where("kind is not null"),
-    "date_lines": lambda s, d: lines(s, d).where(c("line").rlike(T.DATE_ANCHOR)).select("row_id", "at"),
+    "date_lines": lambda s, d: lines(s, d).unionByName(rec(s, d).select("row_id", F.lit(-1).alias("at"), c("entry_meta.ngay").alias("line"))).where(c("line").rlike(T.DATE_ANCHOR)).select("row_id", "at"),
     "line_labels": lambda s, d: det(s, d).select("row_id", T.label_of(c("text")).alias("field"), T.label_value(c("text")).alias("value")).where("field is not null"),
     "metadata_fix": lambda s, d: ocr(s, d).where("text is not null").select("row_id", T.fix_page(c("text")).alias("fixed")),
     "safe_stems": lambda s, d: ocr(s, d).select("row_id", T.safe_stem(c("source_pdf")).alias("stem"), T.source_of_file(c("source_pdf")).alias("source")),
@@ -121,7 +121,7 @@ SQL = {
     "garbage_tokens": f"select row_id, {ST} = '' or regexp_matches(text, '{GARB}') garbage, {ST} = '' or (regexp_full_match({ST}, '[0-9A-Za-zÀ-ỹ]{{1,3}}') and regexp_matches(text, '[0-9]') and regexp_matches(text, '[A-Za-zÀ-ỹ]')) noise from {D}",
     "vietnamese_words": f"select row_id, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 2 and regexp_matches(lower(text), '[{T.VOWELS}]') word from {D}",
     "fingerprint_pages": f"select row_id, ({' + '.join(f'contains(lower(text), lower($${k}$$))::int' for k in T.FINGERPRINT)}) >= 2 two_column from {O} where text is not null",
-    "date_lines": f"select row_id, \"at\" from {L} where regexp_matches(line, '(?i)^[[:space:]]*(?:Ngày[[:space:]]*[:：]?[[:space:]]*)?[0-9]{{1,3}}[[:space:]]+tháng([^\\p{{L}}\\p{{N}}_].*)?[^\\p{{L}}\\p{{N}}_]năm($|[^\\p{{L}}\\p{{N}}_])')",
+    "date_lines": f"select row_id, \"at\" from (select * from {L} union all select row_id, -1, entry_meta.ngay from (select distinct on (row_id) * from records)) where regexp_matches(line, '(?i)^[[:space:]]*(?:Ngày[[:space:]]*[:：]?[[:space:]]*)?[0-9]{{1,3}}[[:space:]]+tháng([^\\p{{L}}\\p{{N}}_].*)?[^\\p{{L}}\\p{{N}}_]năm($|[^\\p{{L}}\\p{{N}}_])')",
     "line_labels": f"select row_id, case {LABEL} end field, case {VALUE} end \"value\" from {D} where case {LABEL} end is not null",
     "sentence_ids": f"select row_id, sentence_id[1:7] prefix, sentence_id[9:11]::int chapter, sentence_id[13:15]::int page, sentence_id[17:18]::int sentence from {S}",
     "sentence_id_roundtrip": f"select row_id, sentence_id, sentence_id again from {S}",
