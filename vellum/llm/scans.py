@@ -410,7 +410,7 @@ class Channel:
         """``read``, remembered: answers of several models share most lines."""
         got = self.lines.get(line)
         if got is None:
-            if len(self.lines) >= 60_000:
+            if len(self.lines) >= 100_000:
                 self.lines.clear()
             got = self.lines[line] = self.read(line)
         return got
@@ -480,7 +480,7 @@ class Channel:
                 return True
         got = self.furniture.get(line, 0)
         if got == 0 and got is not False:
-            if len(self.furniture) >= 60_000:
+            if len(self.furniture) >= 200_000:
                 self.furniture.clear()
             got = self.furniture[line] = None if _BARE.fullmatch(line) else self._is_furniture(line)
         if got is None:  # a bare number may also stand before its unit of measure
