@@ -183,3 +183,16 @@ def test_languages(spark):
 
 def test_no_documents(spark):
     assert L.found(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_long_records_go_in_tiles(spark, monkeypatch):
+    """Records with more pairs of units than one step takes are aligned in tiles, with the same result; repeated rows change nothing."""
+    rnd, rows = random.Random(8), []
+    for i in range(300):
+        pairs = [sentence(rnd) for _ in range(rnd.randrange(1, 7))]
+        rows.append((i, "".join(h + "。" for h, _ in pairs), " ".join(v.capitalize() + "." for _, v in rnd.sample(pairs, len(pairs)))))
+    df = spark.createDataFrame(rows + rows[:5], "row_id long, han string, meaning string")
+    want = {tuple(r) for r in B.record_pairs(df).collect()}
+    for n in (1, 2, 4):
+        monkeypatch.setattr(B, "PAGE_COLUMNS", n)
+        assert {tuple(r) for r in B.record_pairs(df).collect()} == want

@@ -438,8 +438,8 @@ def align(coded: DataFrame, shared) -> DataFrame:
     def run(batches):
         aligner = codes.once(shared, Aligner)
         for b in batches:
-            tokens_, units_ = (np.array(pa.compute.binary_length(b.column(k)).to_pylist(), np.int64) // 4 for k in (1, 5))
-            work = np.cumsum(tokens_ * units_ + 1)
+            ta, ua, tb, ub = (pa.compute.binary_length(b.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) // 4 for k in (1, 2, 4, 5))
+            work = np.cumsum(ta * ub + tb * ua + 1)
             at = 0
             while at < b.num_rows:
                 upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + STEP)))
@@ -476,20 +476,47 @@ def coded_records(records: DataFrame) -> DataFrame:
 def record_pairs(records: DataFrame) -> DataFrame:
     """(table_name, row_id, han_end, other_row_id, other_end) of records: units of han and meaning that render one another.
 
-    Rows with a null or empty side have no pairs. Texts are read once and written as numbers; a row is aligned for itself.
+    Rows with a null or empty side have no pairs. Texts are read once and written as numbers; a row is aligned for itself, one with more than
+    PAGE_COLUMNS² pairs of units in tiles like a long page.
     """
     coded = written(coded_records(records), "coded-records")
-    found = align(coded, fit(coded))
+    shared = fit(coded)
+    units_ = lambda c: F.length(c) / 4
+    long = coded.where(units_("a_len") * units_("b_len") > PAGE_COLUMNS**2)
+    found = align(coded.where(units_("a_len") * units_("b_len") <= PAGE_COLUMNS**2), shared)
+    if not long.isEmpty():
+        found = found.unionByName(long_pages(apart(long.dropDuplicates(["doc"])), shared).select(F.col("page").cast("long").alias("doc"), "a_tag", "b_tag"))
     return found.select(F.lit("records").alias("table_name"), F.col("doc").alias("row_id"), F.col("a_tag").cast("int").alias("han_end"), F.col("doc").alias("other_row_id"), F.col("b_tag").cast("int").alias("other_end"))
 
 
+def apart(coded: DataFrame) -> DataFrame:
+    """The units of coded documents as columns of a page each, for ``long_pages``: (doc, a, …, b_tag, page, n)."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                part = b.slice(at, 1)
+                page, out = str(part.column(0)[0].as_py()), []
+                for k in (1, 4):
+                    tokens_, sizes, tags = (_unpacked(part.column(k + i), t)[0] for i, t in enumerate(("<i4", "<i4", "<i8")))
+                    one = np.ones(len(sizes), np.int64)
+                    made = [_binary(tokens_.astype("<i4"), sizes), _binary(sizes.astype("<i4"), one), _binary(tags.astype("<i8"), one)]
+                    none = [pa.array([b""] * len(sizes), pa.binary())] * 3
+                    out.append((len(sizes), [*made, *none] if k == 1 else [*none, *made]))
+                n = max(x[0] for x in out)
+                for many, columns in out:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(many), pa.int64()), *columns, pa.array([page] * many, pa.string()), pa.array([n] * many, pa.int64())], [*_NAMES, "page", "n"])
+
+    return coded.select(*_NAMES).mapInArrow(run, CODED + ", page string, n long")
+
+
 def _joined(name: str):
     """A packed column of all members of ``c``, one after the other."""
     return F.aggregate(F.col(f"c.{name}"), F.lit(b""), lambda x, y: F.concat(x, y)).alias(name)
 
 
 def long_pages(columns: DataFrame, shared) -> DataFrame:
-    """(a_tag, b_tag) of the pairs of columns of pages of more than PAGE_COLUMNS; ``columns`` are coded, with their page's ``n``.
+    """(page, a_tag, b_tag) of the pairs of columns of pages of more than PAGE_COLUMNS; ``columns`` are coded, with their page's ``n``.
 
     Blocks of columns of either side meet each other block of the other side in a tile of bounded size, so every column meets
     every other and a page is spread over all tasks. A tile yields the pairs that could hold with what they cover, and each
@@ -550,11 +577,11 @@ def long_pages(columns: DataFrame, shared) -> DataFrame:
                 fa, fb = free_a.get(i, -1), free_b.get(j, -1)
                 ga, gb = (ma & fa).bit_count(), (mb & fb).bit_count()
                 if (ga >= OWN and gb >= OWN) or (ga >= MOST * la and gb >= 2) or (gb >= MOST * lo and ga >= 2):
-                    out.append((i, j))
+                    out.append((page, i, j))
                     free_a[i], free_b[j] = fa & ~ma, fb & ~mb
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a_tag", "b_tag"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["page", "a_tag", "b_tag"])
 
-    return c.mapInArrow(decide, "a_tag long, b_tag long")
+    return c.mapInArrow(decide, "page string, a_tag long, b_tag long")
 
 
 #: What a tile yields: pairs of columns (c), and the two nearest neighbours of a column of either side (a, b).
@@ -594,7 +621,7 @@ def column_pairs(aligned: DataFrame) -> DataFrame:
     pages = pages.select("doc", *(_joined(n) for n in names))
     found = align(pages, shared).select("a_tag", "b_tag")
     if any_long:
-        found = found.unionByName(long_pages(x.join(long, "page"), shared))
+        found = found.unionByName(long_pages(x.join(long, "page"), shared).drop("page"))
     return found.select(F.lit("aligned_sentences").alias("table_name"), F.col("a_tag").alias("row_id"), F.lit(-1).alias("han_end"), F.col("b_tag").alias("other_row_id"), F.lit(-1).alias("other_end"))
 
 
