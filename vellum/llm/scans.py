@@ -143,7 +143,7 @@ def count(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         pairs, shapes, confused, n, pages = Counter(), Counter(), Counter(), Counter(), {}
-        known: dict[str, list[str]] = {}  # answers of several models share most lines
+        known: dict[str, tuple[list[str], str | None]] = {}  # tokens and shape: answers of several models share most lines
         with uncollected():
             for b in batches:
                 whole: dict[str, list[str]] = {}  # an answer given twice is read once
@@ -155,22 +155,22 @@ def count(texts: DataFrame) -> DataFrame:
                         lines = whole[shown] = plain(shown).split("\n")
                     n["t", "", work] += 1
                     ts = ["."]
-                    for line in lines:
+                    for i, line in enumerate(lines):
                         got = known.get(line)
                         if got is None:
                             if len(known) >= 60_000:
                                 known.clear()
                             # Han text is counted as corrected only
-                            got = known[line] = tokens(line) if not _HAN_RE.search(line) else ["."] if len(lines) > 1 or line.strip() else []
-                        ts += got
-                    pairs.update(zip(ts, [*ts[1:], "."]))
-                    for i, line in enumerate(lines):
-                        if 8 <= len(line) < 60 and line[-1] not in _MARKS and not line[0].islower() and countable(s := shape(line)):
+                            s = shape(line) if 8 <= len(line) < 60 and line[-1] not in _MARKS and not line[0].islower() else ""
+                            got = known[line] = ["."] if _HAN_RE.search(line) else tokens(line), s if s and countable(s) else None
+                        ts += got[0]
+                        if (s := got[1]) is not None:
                             shapes["a", s, work] += 1
                             if i == 0 or i == len(lines) - 1:
                                 shapes["e", s, work] += 1
                                 if page is not None:
                                     pages[s, work] = pages.get((s, work), 0) | 1 << (page & 63)
+                    pairs.update(zip(ts, [*ts[1:], "."]))
                 for han, read in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                     if han:
                         han = plain(han)
