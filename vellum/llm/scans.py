@@ -18,6 +18,7 @@ import uuid
 from collections import Counter
 from contextlib import contextmanager
 from hashlib import blake2b
+from itertools import pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -247,6 +248,20 @@ def rare_file(rare: DataFrame) -> str:
     return os.path.basename(name)
 
 
+class _Safe(dict):
+    """Whether pairs of tokens are safe, remembered."""
+
+    def __init__(self, channel: Channel):
+        super().__init__()
+        self.channel = channel
+
+    def __missing__(self, p: tuple[str, str]) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[p] = got = self.channel.safe(*p)
+        return got
+
+
 class Headers:
     """Running headers, also as misread by a character."""
 
@@ -256,6 +271,8 @@ class Headers:
         for h in shapes:
             self.near |= {h[:i] + "*" + h[i + 1 :] for i in range(len(h))} | {h[:i] + h[i + 1 :] for i in range(len(h))}
         self.longest = max(map(len, shapes), default=0) + 8
+        # one wrong character leaves the first four or the last four as they are
+        self.starts, self.ends = {h[:4] for h in shapes}, {h[-4:] for h in shapes}
 
     def has(self, line: str) -> bool:
         if not self.shapes or not 8 <= len(line) <= max(self.longest, 60) or line[0].islower():
@@ -263,7 +280,7 @@ class Headers:
         s = shape(line)
         if s in self.shapes:
             return True
-        if not 8 <= len(s) <= self.longest or line[-1] in ".!?…)”’»\"" and not s[:-1] in self.near:
+        if not 8 <= len(s) <= self.longest or s[:4] not in self.starts and s[-4:] not in self.ends or line[-1] in ".!?…)”’»\"" and not s[:-1] in self.near:
             return False
         return s in self.near or any(s[:i] + "*" + s[i + 1 :] in self.near or s[:i] + s[i + 1 :] in self.shapes for i in range(len(s)))
 
@@ -295,7 +312,7 @@ class Channel:
             if _HAN_RE.match(shown) and _HAN_RE.match(read):
                 self.han.setdefault(read, {})[shown] = math.log(max(min(k / (self.n[shown] + 1), 0.3), 0.01))
         self.confused = {(read, shown) for shown, read in CONFUSED}
-        self.safe_pairs: dict[tuple[str, str], bool] = {}
+        self.safe_pairs = _Safe(self)
         self.steps: dict[tuple[str, str], float] = {}
         self.lines: dict[str, tuple[bool, str, bool, list[str], list[int]]] = {}
         self.furniture: dict[str, bool | None] = {}
@@ -364,14 +381,8 @@ class Channel:
 
     def safe(self, a: str, b: str) -> bool:
         """Whether no candidate in place of a, of b or of both could win on this pair."""
-        got = self.safe_pairs.get((a, b))
-        if got is None:
-            k = max(self.pairs.get((a, b), 0) - 1, 0) + SMOOTH * (max(self.n.get(b, 0) - 1, 0) + 0.5) / (self.total + 1)
-            got = all(self.weight(a, v) * math.exp(p) * 4 < k for v, p in self.candidates(b).items()) and all(self.weight(v, b) * math.exp(p) * 4 < k for v, p in self.candidates(a).items()) and not self.both(a, b, k / 4)
-            if len(self.safe_pairs) > 500_000:
-                self.safe_pairs.clear()
-            self.safe_pairs[a, b] = got
-        return got
+        k = max(self.pairs.get((a, b), 0) - 1, 0) + SMOOTH * (max(self.n.get(b, 0) - 1, 0) + 0.5) / (self.total + 1)
+        return all(self.weight(a, v) * math.exp(p) * 4 < k for v, p in self.candidates(b).items()) and all(self.weight(v, b) * math.exp(p) * 4 < k for v, p in self.candidates(a).items()) and not self.both(a, b, k / 4)
 
     def both(self, a: str, b: str, k: float) -> bool:
         """Whether candidates in place of both words reach ``k``. A pair never seen cannot where b's candidate alone does not, and a pair is
@@ -388,10 +399,6 @@ class Channel:
                         return True
         return False
 
-    def is_safe(self, pair: tuple[str, str]) -> bool:
-        got = self.safe_pairs.get(pair)
-        return self.safe(*pair) if got is None else got
-
     def read(self, line: str) -> tuple[bool, str, bool, list[str], list[int]]:
         """(whether signs show an error, the line without them, whether it ends in a broken word, its tokens, the places of pairs that are not
         safe)."""
@@ -403,8 +410,8 @@ class Channel:
             wrong, line = True, mended
         end = line.rstrip()
         broken = end[-1:] in _HYPHENS and bool(_BROKEN.search(end[-3:]))
-        ts, known, safe = tokens(end[:-1] if broken else line), self.safe_pairs, self.safe
-        return wrong, line, broken, ts, [i for i, p in enumerate(zip(ts, ts[1:])) if not (known[p] if p in known else safe(*p))]
+        ts, safe = tokens(end[:-1] if broken else line), self.safe_pairs
+        return wrong, line, broken, ts, [i for i, p in enumerate(pairwise(ts)) if not safe[p]]
 
     def scan(self, line: str) -> tuple[bool, str, bool, list[str], list[int]]:
         """``read``, remembered: answers of several models share most lines."""
@@ -454,20 +461,31 @@ class Channel:
     def viterbi(self, span: tuple[str, ...], others: tuple[str | None, ...] = ()) -> tuple[str, ...]:
         """The best words in place of the inner tokens of a span, between its two outer ones. ``others``: what a second reader saw in
         place of each, if anything: then a word must explain both."""
-        paths, before = {span[0]: (0.0, ())}, span[0]
+        paths, before, steps = {span[0]: (0.0, ())}, span[0], self.steps
+
+        def best(v: str, extra: float, as_read: bool) -> tuple[float, tuple[str, ...]]:
+            """The best path to v, ties by the words before."""
+            top, way = -math.inf, ()
+            for a, (s, path) in paths.items():
+                if as_read and a == before:
+                    x = s + self.step_read(a, v)
+                else:
+                    x = steps.get((a, v))
+                    x = s + (self.step(a, v) if x is None else x)
+                if x > top or x == top and path > way:
+                    top, way = x, path
+            return top + extra, (*way, v)
+
         for k, t in enumerate(span[1:-1]):
             other = others[k] if others else None
             there = self.candidates(t)
             if other is not None and other not in there:
                 there = {**there, other: OTHER}
-            wrong = 0.0 if other is None or other == t else READER
-            own = self.step_read(before, t) if before in paths else None
-            now = {t: max((s + wrong + (own if a == before else self.step(a, t)), (*path, t)) for a, (s, path) in paths.items())}
+            now = {t: best(t, 0.0 if other is None or other == t else READER, True)}
             for v, p in there.items():
-                p += 0.0 if other is None or other == v else READER
-                now[v] = max((s + p + self.step(a, v), (*path, v)) for a, (s, path) in paths.items())
+                now[v] = best(v, p if other is None or other == v else p + READER, False)
             paths, before = now, t
-        return max((s + (self.step_read(a, span[-1]) if a == before else self.step(a, span[-1])), path) for a, (s, path) in paths.items())[1]
+        return best(span[-1], 0.0, True)[1][:-1]
 
     def is_furniture(self, line: str, after: str | None, own: tuple[str, ...] = ()) -> bool:
         """Whether a line is a running header, a footer or a page number; ``own``: headers of the text's work alone."""
@@ -482,14 +500,17 @@ class Channel:
         if got == 0 and got is not False:
             if len(self.furniture) >= 200_000:
                 self.furniture.clear()
-            got = self.furniture[line] = None if _BARE.fullmatch(line) else self._is_furniture(line)
+            first = line.lstrip()[:1]
+            # numbers, folios and volumes begin with a sign, a digit, a Han character, or with t or p
+            word = first.isalpha() and first < "⺀" and first not in "tTpP"
+            got = self.furniture[line] = None if not word and _BARE.fullmatch(line) else self._is_furniture(line, word)
         if got is None:  # a bare number may also stand before its unit of measure
             follows = tokens(after)[:1] if after else []
             return not (follows and follows[0] in self.units) and not (_HAN_RE.search(line) and follows and self.pairs.get((line.strip()[-1], follows[0]), 0) > 0.01 * self.n.get(line.strip()[-1], 0))
         return got
 
-    def _is_furniture(self, line: str) -> bool:
-        if _DECORATED.fullmatch(line) or _FOLIO.fullmatch(line) or _VOLUME.fullmatch(line):
+    def _is_furniture(self, line: str, word: bool = False) -> bool:
+        if not word and (_DECORATED.fullmatch(line) or _FOLIO.fullmatch(line) or _VOLUME.fullmatch(line)):
             return True
         if not 8 <= len(line) <= max(self.headers.longest, 60) or line[0].islower():
             return False
@@ -553,14 +574,14 @@ class Channel:
             if got:
                 if ts[-1] not in ".:" and bool(_HAN_RE.match(ts[-1])) != bool(_HAN_RE.match(got[0])) and got[0] not in ".:":
                     # Latin and Han lines are not each other's context
-                    if not self.is_safe((ts[-1], ".")):
+                    if not self.safe_pairs[ts[-1], "."]:
                         unsafe.add(start - 1)
                     ts.append(".")
                     owner.append(-1)
                     if start in heads:
                         heads[start + 1] = heads.pop(start)
                     start += 1
-                if not self.is_safe((ts[-1], got[0])):
+                if not self.safe_pairs[ts[-1], got[0]]:
                     unsafe.add(start - 1)
                 if places:
                     unsafe.update(start + k for k in places)
@@ -569,7 +590,7 @@ class Channel:
             pieces.append((i, start, line))
         if carry:
             pieces.append((carried, len(ts), carry))
-        if not self.is_safe((ts[-1], ".")):
+        if not self.safe_pairs[ts[-1], "."]:
             unsafe.add(len(ts) - 1)
         ts.append(".")
         owner.append(-1)
