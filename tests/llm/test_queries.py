@@ -35,7 +35,7 @@ CLASHING = ("units", "label", "prior", "n", "value", "x", "e", "z", "part", "buc
 
 @pytest.fixture(scope="module")
 def widened(spark, tmp_path_factory):
-    """The smallest tables with further columns whose names operators use, and every row twice."""
+    """The smallest tables with further columns whose names operators use."""
     import os
 
     folder = str(tmp_path_factory.mktemp("wide"))
