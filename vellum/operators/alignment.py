@@ -39,8 +39,12 @@ def verdicts(pairs: DataFrame, similar: DataFrame, translit: DataFrame) -> DataF
 
 def edit_script(a: list[str], b: list[str]) -> tuple[list[tuple[str, str]], int]:
     """The pairs of a least-cost alignment of two token lists, and its cost. From the end back a diagonal step is taken where it
-    explains the cell, else a deletion, else an insertion; gaps are empty texts."""
+    explains the cell, else a deletion, else an insertion; gaps are empty texts. Where no token is in both lists each cell of the table is the
+    larger of its places, so every step back is diagonal and what is left of the longer list comes first."""
     m, n = len(a), len(b)
+    if set(a).isdisjoint(b):
+        size = max(m, n)
+        return list(zip([""] * (size - m) + a, [""] * (size - n) + b)), size
     d = [list(range(n + 1))] + [[i] + [0] * n for i in range(1, m + 1)]
     for i, x in enumerate(a, 1):
         up, now = d[i - 1], d[i]
