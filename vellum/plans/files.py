@@ -46,15 +46,14 @@ def record_lines(s, d):
 
 
 def page_files(s, d):
-    """A JSON file for each page and model, and files that are none."""
+    """Each model's answer for a page as a line of JSON, and back."""
     x = versions(load(s, d, "ocr_results")).where("doc_id is not null and page_no is not null and model_name is not null")
     x = x.groupBy("doc_id", "page_no", "model_name").agg(F.min_by(F.struct("text", "confidence"), "row_id").alias("r"))
     rows = x.select("doc_id", "page_no", "model_name", "r.*")
     path = scratch(s, "pages")
-    S.write_ocr_pages(rows.withColumns({"model_name": F.base64(F.encode("model_name", "UTF-8")), "doc_id": F.base64(F.encode("doc_id", "UTF-8"))}), path)
-    back = s.read.schema("model_name STRING, doc_id STRING, page_no INT, text STRING, confidence DOUBLE").json(path)
-    plain = lambda n: F.decode(F.unbase64(n), "UTF-8").alias(n)
-    return back.select(plain("doc_id"), "page_no", plain("model_name"), "text", "confidence")
+    S.write_ocr_pages(rows, path)
+    back = s.read.schema("doc_id STRING, page_no INT, model_name STRING, text STRING, confidence DOUBLE").json(path)
+    return back.select("doc_id", "page_no", "model_name", "text", "confidence")
 
 
 def manifests(s, d):

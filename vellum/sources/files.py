@@ -73,7 +73,9 @@ def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ocr_pages(pages: DataFrame, path: str) -> None:
-    pages.write.mode("overwrite").partitionBy("model_name", "doc_id").json(path)
+    """OCR answers as JSON lines that hold their doc_id and model_name, in a folder for each model (its name in base64, as it may hold anything).
+    Documents have no folders: there are as many as the corpus grows to, of a few pages each, and files cost more than pages."""
+    pages.withColumn("model", F.base64(F.encode("model_name", "UTF-8"))).write.mode("overwrite").partitionBy("model").json(path)
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
